@@ -46,13 +46,24 @@ def _nearest(qids: np.ndarray, q: np.ndarray, pdf: pd.DataFrame, k: int) -> pd.D
     for lo in range(0, len(q), QUERY_SLICE):
         distances = np.floor((1.0 - q[lo: lo + QUERY_SLICE] @ rows) * DISTANCE_DIGITS + 0.5) / DISTANCE_DIGITS
         for qid, row in zip(qids[lo: lo + QUERY_SLICE], distances):
-            order = np.argsort(row, kind="stable")
-            _, first = np.unique(codes[order], return_index=True)
-            pick = order[np.sort(first)[:k]]
+            pick = _first_keys(row, codes, k)
             parts.append(pd.DataFrame({"query_id": qid, "id": ids[pick], "key": keys[pick], "distance": row[pick]}))
     return pd.concat(parts, ignore_index=True)
 
 
+def _first_keys(row: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest distances with distinct codes; equal distances in row order."""
+    m = min(len(row), 4 * k)
+    while True:
+        # every row up to the m-th smallest distance, so that ties are complete
+        near = np.flatnonzero(row <= np.partition(row, m - 1)[m - 1]) if m < len(row) else np.arange(len(row))
+        order = near[np.argsort(row[near], kind="stable")]
+        _, first = np.unique(codes[order], return_index=True)
+        if len(first) >= k or m == len(row):
+            return order[np.sort(first)[:k]]
+        m = min(len(row), m * 4)
+
+
 def _best(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """Merge partial results: best row per query and key, then k per query."""
     merged = pd.concat(frames, ignore_index=True).sort_values(["query_id", "distance", "id"], kind="stable")
@@ -81,13 +92,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = vocab.SEARCH_SIZE, list_
     qkind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qkind}, id {kind}, key string, distance double"
 
-    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("d")).first()
-    if size["n"] > MAX_BROADCAST_QUERIES or size["d"] > MAX_BROADCAST_NUMBERS:
-        if list_col:
-            body = body.drop("list")
-        return _knn_blocks(queries, body, k, schema)
-
-    batch = queries.toPandas()  # bounded by the check above
+    # at most one row more than may be broadcast ever reaches the driver
+    batch = queries.limit(MAX_BROADCAST_QUERIES + 1).toPandas()
+    if len(batch) > MAX_BROADCAST_QUERIES or sum(len(e) for e in batch["embedding"]) > MAX_BROADCAST_NUMBERS:
+        return _knn_blocks(queries, body.drop("list"), k, schema)
     if batch.empty:
         return queries.sparkSession.createDataFrame([], f"query_id {qkind}, id {kind}, distance double, rank int")
     qids, q = batch["query_id"].to_numpy(), _unit(batch["embedding"])

@@ -13,6 +13,7 @@ from ..operators import facts as fx
 from ..operators import topk
 from ..operators.dedup import first_per_key
 from ..operators.vector import knn
+from ..session import durable
 
 # Keyword conditions evaluated in one pass over the articles.
 WORDS_PER_PASS = 400
@@ -165,10 +166,13 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
     Sector and ticker questions return the best tickers of the sector or list;
     anything else looks for the nearest articles (or matching keywords when
     the articles carry no embeddings) and derives tickers from them.
+
+    What several results share (classified queries, ticker scores, matched
+    articles, chosen tickers) is computed once and kept on shared storage.
     """
     facts = fx.mention_facts(mentions, articles)
-    intents = classify_queries(queries, mode)
-    scored = fx.ticker_scores(tickers, facts, as_of)
+    intents = durable(classify_queries(queries, mode))
+    scored = durable(fx.ticker_scores(tickers, facts, as_of))
     by_score = [F.desc("score"), F.asc("symbol")]
 
     # sector questions: the best of each named sector, sectors in query order
@@ -193,9 +197,12 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
     else:
         found = keyword_search_batch(loose.select("query_id", "raw_query"), articles, k)
         found = _ranked(found, [F.desc("timestamp"), F.desc("id")], k)
-    sentiment = fx.article_sentiment(mentions).select(F.col("article_id").alias("id"), scores.round4("sentiment").alias("sentiment"))
+    found = durable(found)
+    mentioned = mentions.join(found.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi")
+    sentiment = fx.article_sentiment(mentioned).select(
+        F.col("article_id").alias("id"), scores.round4("sentiment").alias("sentiment"))
     found_news = found.join(sentiment, "id", "left")
-    related = (
+    related = durable(
         found.select("query_id", F.col("id").alias("article_id"))
         .join(mentions.select("article_id", F.col("ticker").alias("symbol")), "article_id")
         .select("query_id", "symbol").distinct()
@@ -215,6 +222,7 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
         .unionByName(from_articles.withColumn("pos", F.lit(0)).select(cols))
         .unionByName(partial.select(cols))
     )
+    flat = durable(flat)
     best = _ranked(flat, [F.asc("pos"), *by_score], k).drop("pos")
 
     # news and trends of ticker-first questions use every ticker found, before the cut
