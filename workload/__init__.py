@@ -1,4 +1,4 @@
 """Registered queries over the supplied tables, and their SQL counterparts."""
 
-from . import boards, pages  # noqa: F401  (registers their queries)
+from . import boards, feeds, pages, streams, texts  # noqa: F401  (registers their queries)
 from .catalog import ORACLES, QUERIES  # noqa: F401

@@ -62,7 +62,7 @@ def weight_case(column: str) -> str:
 
 
 DERIVED = f"""
-with latest as (select max(ts) t, max(user_id) u from events),
+with recursive latest as (select max(ts) t, max(user_id) u from events),
 ev as (
   select e.event_id, e.ts, e.user_id, e.event_type, e.value, e.props, p.p_name,
          {sym('e.user_id')} sym, {at(SOURCES, 'e.event_id%12')} source
