@@ -24,6 +24,7 @@ def mention_facts(mentions: DataFrame, articles: DataFrame) -> DataFrame:
     """
     on = ["article_id"] + (["dt"] if "dt" in mentions.columns and "dt" in articles.columns else [])
     kept = [c for c in ("source", "timestamp", "title", "url") if c in articles.columns]
+    # a shared date on both sides lets a window prune both tables
     right = articles.select(F.col("id").alias("article_id"), *on[1:], *kept)
     left = mentions.withColumnRenamed("id", "mention_id")
     return left.drop(*[c for c in kept if c in left.columns], "created_at").join(right, on)

@@ -215,21 +215,21 @@ def reset_weights(v: Views):
 @query("weight_audit", RESET + f"""select source, count(*) mention_count, {weight_case('source')} new_weight
   from pending p join articles a on a.id=p.article_id where source_weight=1e0 group by source""")
 def weight_audit(v: Views):
-    return maintenance.weight_audit(reset_weights(v), v.articles)
+    return maintenance.weight_audit(reset_weights(v), v.headers)
 
 
 @query("weight_backfill", RESET + f"""select p.id, ticker, article_id, sentiment,
   case when source_weight=1e0 then {weight_case('a.source')} else source_weight end source_weight
   from pending p join articles a on a.id=p.article_id""")
 def weight_backfill(v: Views):
-    return maintenance.backfill_weights(reset_weights(v), v.articles).drop("created_at")
+    return maintenance.backfill_weights(reset_weights(v), v.headers).drop("created_at", "dt")
 
 
 @query("retention", """, kept as (select id from articles where "timestamp" >= (select t from latest) - to_days(7))
   select 'articles' as table_name, id from kept union all
   select 'mentions', id from mentions where article_id in (select id from kept)""")
 def retention(v: Views):
-    articles, mentions = maintenance.retain(v.articles, v.mentions, v.as_of)
+    articles, mentions = maintenance.retain(v.headers, v.mentions, v.as_of)
     return articles.select(F.lit("articles").alias("table_name"), "id").unionByName(
         mentions.select(F.lit("mentions").alias("table_name"), "id"))
 

@@ -75,7 +75,7 @@ def news_sql(window: str, exact: bool = False) -> str:
 
 for _w in ("6h", "24h", "7d"):
     query(f"ticker_news_{_w}", news_sql(_w) + " select * from news")(
-        lambda v, w=_w: ticker.ticker_news(v.tickers.select("symbol"), v.facts, w, v.as_of)
+        lambda v, w=_w: ticker.ticker_news(v.tickers.select("symbol"), v.titled_facts, w, v.as_of)
     )
 
 
@@ -83,14 +83,14 @@ for _w in ("6h", "24h", "7d"):
   select ticker symbol, coalesce(nullif(lower(trim(regexp_replace(title,'\\s+-\\s+[^-]+$',''))),''), cast(article_id as varchar)) k
   from facts group by 1,2) group by 1""")
 def title_dedupe(v: Views):
-    news = v.facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
+    news = v.titled_facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
     return topk.dedupe_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"))
 
 
 @query("exact_title_dedupe", """select ticker as symbol, count(distinct lower(trim(coalesce(title, cast(article_id as varchar))))) kept
   from facts group by 1""")
 def exact_title_dedupe(v: Views):
-    news = v.facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
+    news = v.titled_facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
     return topk.dedupe_exact_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"))
 
 
@@ -104,7 +104,7 @@ def timeline_sql(window: str) -> str:
 
 for _w in ("24h", "7d"):
     query(f"ticker_timeline_{_w}", timeline_sql(_w) + f" select symbol, ts, {r4('sentiment')} sentiment, mentions, article_id from points")(
-        lambda v, w=_w: ticker.ticker_timeline(v.tickers.select("symbol"), v.facts, w, v.as_of).withColumn(
+        lambda v, w=_w: ticker.ticker_timeline(v.tickers.select("symbol"), v.titled_facts, w, v.as_of).withColumn(
             "sentiment", scores.round4("sentiment"))
     )
 
@@ -137,7 +137,7 @@ AROUND = """,
  select p.symbol, p.ts, case when pts is null then nts when nts is null then pts when p.ts-pts<=nts-p.ts then pts else nts end bucket_ts
  from p join q on p.symbol=q.symbol and p.ts=q.ts""")
 def nearest_bucket(v: Views):
-    points = ticker.ticker_timeline(v.tickers.select("symbol"), v.facts, "7d", v.as_of)
+    points = ticker.ticker_timeline(v.tickers.select("symbol"), v.titled_facts, "7d", v.as_of)
     return timeline.nearest_bucket(marks(v), points)
 
 
@@ -145,7 +145,7 @@ def nearest_bucket(v: Views):
  select p.symbol, p.ts, {r4("case when pts is null then ns when nts is null then ps when nts=pts then ps else ps+(cast(p.ts-pts as double)/cast(nts-pts as double))*(ns-ps) end")} sentiment
  from p join q on p.symbol=q.symbol and p.ts=q.ts""")
 def timeline_interpolate(v: Views):
-    points = ticker.ticker_timeline(v.tickers.select("symbol"), v.facts, "7d", v.as_of)
+    points = ticker.ticker_timeline(v.tickers.select("symbol"), v.titled_facts, "7d", v.as_of)
     return timeline.interpolate_timeline(marks(v), points).withColumn("sentiment", scores.round4("sentiment"))
 
 

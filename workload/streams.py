@@ -112,10 +112,8 @@ def stream_lateness(v: Views):
 def stream_retention(v: Views):
     """Retention applied in place to a stored feed."""
     path = session.scratch_path(v.spark, "retained")
-    dated = v.articles.withColumn("dt", F.to_date("timestamp"))
-    store.write_table(dated, f"{path}/articles", 0)
-    owners = dated.select(F.col("id").alias("article_id"), "dt")
-    store.write_table(v.mentions.join(owners, "article_id"), f"{path}/mentions", 0)
+    store.write_table(v.articles, f"{path}/articles", 0)
+    store.write_table(v.mentions, f"{path}/mentions", 0)
     jobs.stream_retention(v.spark, path, v.as_of)
     a, m = v.spark.read.parquet(f"{path}/articles"), v.spark.read.parquet(f"{path}/mentions")
     return a.agg(F.count("*").alias("n")).select(F.lit("articles").alias("table_name"), "n").unionByName(

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidewatch import session
 from tidewatch.functions import minhash, scores, text, vocab
 from tidewatch.operators import dedup, extract, maintenance, models
 
 from .catalog import inlist, query, r4
-from .views import Views, symbol
+from .views import Views
 
 WORD = "[\\p{L}\\p{N}_]+"
 
@@ -32,14 +33,19 @@ def signature_sql(name: str, source: str, id_col: str, body: str) -> str:
  {name} as (select id, i, min((h*a+b)%2147483647) v from {name}_h, perms group by 1,2)"""
 
 
+def documents(v: Views):
+    return session.spread(v.table("documents"))
+
+
 def signed(v: Views):
-    return v.table("documents").select(F.col("doc_id").alias("id"), minhash.signature("text").alias("minhash_signature"))
+    """Documents with their signatures."""
+    return documents(v).select(F.col("doc_id").alias("id"), minhash.signature("text").alias("minhash_signature"))
 
 
 @query("shingles", shingle_sql("sh", "documents", "doc_id", "text") + """
  select id doc_id, count(*) n, md5(string_agg(s,'|' order by s)) digest from sh group by 1""")
 def shingles(v: Views):
-    sets = v.table("documents").select("doc_id", text.shingles("text").alias("s"))
+    sets = documents(v).select("doc_id", text.shingles("text").alias("s"))
     return sets.select("doc_id", F.size("s").cast("bigint").alias("n"),
                        F.md5(F.array_join(F.array_sort("s"), "|")).alias("digest"))
 
@@ -78,7 +84,7 @@ def near_dup_kept(v: Views):
  select distinct later doc_id from alike""")
 def near_duplicates(v: Views):
     """Unlabelled documents that copy a labelled one."""
-    sigs, old = signed(v), v.table("labels").select(F.col("doc_id").alias("id")).distinct()
+    sigs, old = session.durable(signed(v)), v.table("labels").select(F.col("doc_id").alias("id")).distinct()
     found = dedup.near_duplicates(sigs.join(old, "id", "left_anti"), sigs.join(old, "id", "left_semi"))
     return found.select(F.col("id").alias("doc_id"))
 
@@ -94,7 +100,7 @@ TURNS = """, turns as (select concat(conv_id,'-',turn) k, concat(conv_id,'-',tur
  from pairs p join n x on x.id=p.earlier join n y on y.id=p.later left join common c on c.later=p.later and c.earlier=p.earlier""")
 def exact_jaccard(v: Views):
     """Each turn of a conversation against the one before."""
-    turns = v.table("conversations").select(
+    turns = session.spread(v.table("conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat_ws("-", F.col("conv_id"), F.col("turn") + 1).alias("next"), "text")
     pairs = turns.select(F.col("next").alias("later"), F.col("id").alias("earlier")).join(
         turns.select(F.col("id").alias("later")), "later", "left_semi")
@@ -106,7 +112,7 @@ def exact_jaccard(v: Views):
  select p.later, p.earlier, sum(case when a.v=b.v then 1 else 0 end)/128e0 estimate
  from pairs p join sig a on a.id=p.earlier join sig b on b.id=p.later and b.i=a.i group by 1,2""")
 def jaccard_estimate(v: Views):
-    turns = v.table("conversations").select(
+    turns = session.spread(v.table("conversations")).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"),
         F.concat_ws("-", F.col("conv_id"), F.col("turn") + 1).alias("next"), minhash.signature("text").alias("sig"))
     a = turns.select(F.col("id").alias("earlier"), F.col("next").alias("later"), F.col("sig").alias("a"))
@@ -120,7 +126,7 @@ def jaccard_estimate(v: Views):
 def minhash_backfill(v: Views):
     """Labelled documents count as already signed and keep their signature."""
     labelled = v.table("labels").select("doc_id", F.lit(True).alias("done")).distinct()
-    docs = v.table("documents").join(labelled, "doc_id", "left").select(
+    docs = documents(v).join(labelled, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("text").alias("content"),
         F.when(F.col("done"), F.array(F.lit(7))).alias("minhash_signature"))
     filled = maintenance.backfill_minhash(docs)
@@ -168,14 +174,20 @@ BY_COMPANY = f"""select distinct a.id, kw.symbol from (
   select distinct id, unnest(regexp_extract_all(lower(title),'{WORD}')) w from articles) a join kw on kw.w=a.w"""
 
 
-@query("extract_by_company", KEYWORDS + " " + BY_COMPANY)
+# counts per article: a common word names many companies
+@query("extract_by_company", KEYWORDS + f""" select id, count(*) n, min(symbol) first, max(symbol) last from ({BY_COMPANY}) group by 1""")
 def extract_by_company(v: Views):
-    return extract.extract_by_company(v.articles, v.tickers)
+    return per_article(extract.extract_by_company(v.articles, v.tickers))
+
+
+def per_article(found):
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.min("symbol").alias("first"), F.max("symbol").alias("last"))
 
 
-@query("extract_tickers", KEYWORDS + f" select id, symbol from ({BY_COMPANY}) union select id, symbol from ({SYMBOLS})")
+@query("extract_tickers", KEYWORDS + f""" select id, count(*) n, min(symbol) first, max(symbol) last from (
+  select id, symbol from ({BY_COMPANY}) union select id, symbol from ({SYMBOLS})) group by 1""")
 def extract_tickers(v: Views):
-    return extract.extract_tickers(v.articles, v.tickers)
+    return per_article(extract.extract_tickers(v.articles, v.tickers))
 
 
 # Model hooks with the deterministic stand-ins
@@ -215,14 +227,14 @@ def hashing_encoder(texts: list[str]) -> np.ndarray:
 
 @query("embed")
 def embed(v: Views):
-    docs = models.embed(v.table("documents"), hashing_encoder)
+    docs = models.embed(documents(v), hashing_encoder)
     return docs.select("doc_id", F.size("embedding").alias("dim"))
 
 
 @query("embedding_backfill")
 def embedding_backfill(v: Views):
     done = v.table("labels").select("doc_id", F.lit(True).alias("done")).distinct()
-    docs = v.table("documents").join(done, "doc_id", "left").select(
+    docs = documents(v).join(done, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"),
         F.when(F.col("done"), F.array(F.lit(1.0).cast("float"))).alias("embedding"))
     return maintenance.backfill_embeddings(docs, hashing_encoder).select("id", F.size("embedding").alias("dim"))

@@ -49,18 +49,25 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = session.tune(spark), sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
+    def _extremes(self) -> tuple[dt.datetime, int]:
+        """Newest event time and highest user; one aggregate over two columns."""
+        return tuple(self.table("events").agg(F.max(F.col("ts").cast("timestamp_ntz")), F.max("user_id")).first())
+
+    @property
     def as_of(self) -> dt.datetime:
-        """Newest event time; one aggregate over one column."""
-        return times.latest_timestamp(self.table("events"), "ts")
+        return self._extremes[0]
 
-    @cached_property
+    @property
     def max_user(self) -> int:
-        return self.table("events").agg(F.max("user_id")).first()[0]
+        return self._extremes[1]
 
     @cached_property
     def tickers(self) -> DataFrame:
@@ -72,24 +79,36 @@ class Views:
         )
 
     @cached_property
-    def events(self) -> DataFrame:
-        """Events with the ticker, company name and source they stand for."""
-        part = self.table("part").select(F.col("p_partkey").alias("user_id"), "p_name")
-        named = self.table("events").join(part, "user_id", "left")
-        return named.withColumn("sym", symbol("user_id")).withColumn("source", pick(SOURCES, F.col("event_id") % 12))
+    def plain_events(self) -> DataFrame:
+        """Events with the ticker and source they stand for."""
+        return self.table("events").withColumn("sym", symbol("user_id")).withColumn(
+            "source", pick(SOURCES, F.col("event_id") % 12))
 
     @cached_property
-    def articles(self) -> DataFrame:
-        return self._as_articles(self.events)
+    def events(self) -> DataFrame:
+        """Events that also carry the company name."""
+        part = self.table("part").select(F.col("p_partkey").alias("user_id"), "p_name")
+        return self.plain_events.join(part, "user_id", "left")
 
     @staticmethod
-    def _as_articles(events: DataFrame) -> DataFrame:
+    def _article_columns() -> list[Column]:
         url = F.concat(F.lit("https://example.com/"), "sym", F.lit("/"), (F.col("event_id") % 50).cast("string"))
-        return events.select(
-            F.col("event_id").alias("id"), "source",
+        return [
+            F.col("event_id").alias("id"), F.col("source"), url.alias("url"), F.col("ts").alias("timestamp"),
+            F.to_date("ts").alias("dt"),
+        ]
+
+    @cached_property
+    def headers(self) -> DataFrame:
+        """Articles without their text."""
+        return self.plain_events.select(*self._article_columns())
+
+    @cached_property
+    def articles(self) -> DataFrame:
+        return self.events.select(
+            *self._article_columns(),
             F.concat_ws(" ", "sym", "p_name", "event_type", F.lit("-"), "source").alias("title"),
             F.concat_ws(" ", "sym", "event_type", "p_name", "props").alias("content"),
-            url.alias("url"), F.col("ts").alias("timestamp"),
             (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 90).cast("int"))).alias("created_at"),
         )
 
@@ -103,15 +122,20 @@ class Views:
         neighbour = symbol((F.col("user_id") + 1) % (self.max_user + 1))
         other = F.struct((e * 2 + 1).alias("id"), neighbour.alias("ticker"), (-sentiment).alias("sentiment"))
         rows = self.table("events").select(
-            e.alias("article_id"), F.col("ts").alias("created_at"),
+            e.alias("article_id"), F.col("ts").alias("created_at"), F.to_date("ts").alias("dt"),
             (pick(WEIGHTS_E2, e % 12) / F.lit(100.0)).alias("source_weight"),
             F.explode(F.when(e % 3 == 0, F.array(own, other)).otherwise(F.array(own))).alias("m"),
-        ).select("m.*", "article_id", "source_weight", "created_at")
+        ).select("m.*", "article_id", "source_weight", "created_at", "dt")
         known = self.tickers.select(F.col("symbol").alias("ticker"))
         return rows.join(known, "ticker", "left_semi")
 
     @cached_property
     def facts(self) -> DataFrame:
+        """Mentions with their article's header; both sides carry its date, as in the store."""
+        return fx.mention_facts(self.mentions, self.headers)
+
+    @cached_property
+    def titled_facts(self) -> DataFrame:
         return fx.mention_facts(self.mentions, self.articles)
 
     @cached_property
