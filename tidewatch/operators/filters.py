@@ -64,18 +64,22 @@ def filter_themes(df: DataFrame, v2: str = "themes_v2", v1: str = "themes_v1",
     return df.filter(text.theme_match(v2, v1, prefixes))
 
 
-def known_tickers(items: DataFrame, tickers: DataFrame, id_col: str = "id", column: str = "tickers") -> DataFrame:
-    """Restrict each item's ticker array to known symbols, order and repeats preserved."""
-    spread = items.select(id_col, F.posexplode(column).alias("_pos", "symbol"))
-    kept = (
+def known_tickers(items: DataFrame, tickers: DataFrame, column: str = "tickers") -> DataFrame:
+    """Restrict each item's ticker array to known symbols, order and repeats preserved.
+
+    The result depends on the array alone, so each distinct array is resolved
+    once and joined back by value.
+    """
+    arrays = items.select(F.col(column).alias("_named")).filter(F.size("_named") > 0).distinct()
+    spread = arrays.select("_named", F.posexplode("_named").alias("_pos", "symbol"))
+    known = (
         spread.join(tickers.select("symbol").distinct(), "symbol", "left_semi")
-        .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_pos", "symbol"))).alias("_known"))
-        .select(id_col, F.transform("_known", lambda k: k["symbol"]).alias("_known"))
-    )
-    return (
-        items.join(kept, id_col, "left")
-        .withColumn(column, F.coalesce("_known", F.array().cast("array<string>"))).drop("_known")
+        .groupBy("_named").agg(F.array_sort(F.collect_list(F.struct("_pos", "symbol"))).alias("_hits"))
+        .select("_named", F.transform("_hits", lambda k: k["symbol"]).alias("_known"))
     )
+    joined = items.join(known, F.col(column) == F.col("_named"), "left")
+    kept = F.coalesce("_known", F.array().cast("array<string>"))
+    return joined.withColumn(column, kept).select(*items.columns)
 
 
 def valid_items(items: DataFrame, need_http: bool = False, need_tickers: bool = False) -> DataFrame:

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:  # optional: multi-word scan; without it words are tested one by one
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 from ..functions import scores, text, vocab
 from ..operators import facts as fx
 from ..operators import topk
@@ -15,8 +23,10 @@ from ..operators.dedup import first_per_key
 from ..operators.vector import knn
 from ..session import durable
 
-# Keyword conditions evaluated in one pass over the articles.
-WORDS_PER_PASS = 400
+# Words looked up in one scan of the articles.
+WORDS_PER_PASS = 100_000
+# Up to this many words a plain containment test is cheaper than an automaton.
+PLAIN_WORDS = 32
 
 
 class SearchResult(NamedTuple):
@@ -90,25 +100,42 @@ def keyword_search(articles: DataFrame, query: str, k: int = vocab.SEARCH_SIZE)
     return topk.latest_per_url(articles.filter(F.lit(False) if condition is None else condition), k)
 
 
+def _word_hits(base: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Rows of `base` once per vocabulary word that occurs in `_body`."""
+    out = [c for c in base.columns if c != "_body"]
+    if ahocorasick is None or len(vocabulary) <= PLAIN_WORDS:
+        hits = F.filter(F.array(*[F.lit(w) for w in vocabulary]), lambda w: F.contains(F.col("_body"), w))
+        return base.select(*out, F.explode(hits).alias("word"))
+
+    @F.pandas_udf("array<string>")
+    def occurring(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # one scan of a text finds all words, however many there are
+        automaton = ahocorasick.Automaton()
+        for w in vocabulary:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for bodies in batches:
+            yield bodies.map(lambda text_: sorted({w for _, w in automaton.iter(text_)}))
+
+    return base.select(*out, F.explode(occurring("_body")).alias("word"))
+
+
 def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab.SEARCH_SIZE) -> DataFrame:
     """`keyword_search` for a table (query_id, raw_query).
 
-    All distinct words are tested in one pass over the articles (several passes
-    beyond WORDS_PER_PASS words); matches meet the queries by word.
+    All distinct words are looked up in one scan of the articles (several scans
+    beyond WORDS_PER_PASS words).  Matches are reduced to one row per word and
+    URL before they meet the queries by word.
     """
     words = queries.select("query_id", F.explode(F.split(F.lower("raw_query"), r"(?U)\s+")).alias("word")).filter(
         F.length("word") > 2).distinct()
     vocabulary = sorted(r["word"] for r in words.select("word").distinct().toLocalIterator())
     body = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     base = articles.select("id", "source", "title", "url", "timestamp", body.alias("_body"))
-    matched = None
-    for start in range(0, max(len(vocabulary), 1), WORDS_PER_PASS):
-        part = vocabulary[start: start + WORDS_PER_PASS]
-        hits = F.filter(F.array(*[F.lit(w) for w in part]), lambda w: F.contains(F.col("_body"), w))
-        found = base.select("id", "source", "title", "url", "timestamp", F.explode(hits).alias("word"))
-        matched = found if matched is None else matched.unionByName(found)
-    pairs = matched.join(words, "word").drop("word")
-    news = topk.latest_per_url(pairs, k, ["query_id"])
+    passes = [vocabulary[i: i + WORDS_PER_PASS] for i in range(0, max(len(vocabulary), 1), WORDS_PER_PASS)]
+    matched = reduce(DataFrame.unionByName, [_word_hits(base, part) for part in passes])
+    latest = first_per_key(matched, F.struct("word", "url"), ["id", "timestamp"], latest=True)
+    news = topk.latest_per_url(latest.join(words, "word").drop("word"), k, ["query_id"])
     return news.select("query_id", "id", "source", "title", "url", "timestamp")
 
 

@@ -146,7 +146,7 @@ def normalize_finnhub_general(raw: DataFrame, tickers: DataFrame, ingested_at: d
     """`related` names tickers; only known ones stay."""
     related = F.transform(F.split(F.coalesce("related", F.lit("")), ","), lambda s: F.upper(text.strip(s)))
     named = _finnhub(raw, ingested_at, "finnhub_general", F.concat(F.lit("finnhub-general-"), _filled("url")), related)
-    return known_tickers(named.withColumn("_row", F.monotonically_increasing_id()), tickers, "_row").drop("_row")
+    return known_tickers(named, tickers)
 
 
 def normalize_finnhub_company(raw: DataFrame, ingested_at: dt.datetime) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions import minhash, times
 from ..operators import dedup, facts as fx, maintenance
 from ..operators.filters import exclude_sources
 from ..plans import trending
+from ..session import durable
 from ..sources import store
 
 LATENESS = "7 days"
@@ -104,7 +105,7 @@ def stream_near_dup(feed: DataFrame, path: str, checkpoint: str, arrived: Callab
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark, now = batch.sparkSession, arrived()
-        signed = batch.withColumn("minhash_signature", minhash.signature(text_col))
+        signed = durable(batch.withColumn("minhash_signature", minhash.signature(text_col)))
         spec = T.StructType([
             *signed.schema.fields, T.StructField("created_at", T.TimestampType()), T.StructField("batch", T.LongType())
         ])

@@ -86,9 +86,9 @@ class Views:
 
     @cached_property
     def events(self) -> DataFrame:
-        """Events that also carry the company name."""
+        """Events that also carry the company name, spread over the cores for text work."""
         part = self.table("part").select(F.col("p_partkey").alias("user_id"), "p_name")
-        return self.plain_events.join(part, "user_id", "left")
+        return session.spread(self.plain_events).join(part, "user_id", "left")
 
     @staticmethod
     def _article_columns() -> list[Column]:
