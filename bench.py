@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
     "trending_boards", "trending_window_7d", "trending_sector_window", "ticker_detail", "ticker_news_7d",
-    "ticker_timeline_7d", "timeline_interpolate", "ticker_scores", "latest_per_url", "keyword_search",
+    "sentiment_timeline_7d", "timeline_interpolate", "ticker_scores", "latest_per_url", "keyword_search",
     "search_tickers", "search_news", "knn_articles", "minhash_signature", "near_dup_kept", "near_duplicates",
     "extract_symbols", "normalize_gdelt", "union_feed", "response_parse", "weight_backfill", "retention",
     "stream_hourly", "stream_board",

@@ -8,7 +8,7 @@ from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 try:  # optional: multi-word scan; without it words are tested one by one
@@ -173,8 +173,11 @@ def _ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """Latest unique articles per query for its (query_id, symbol) rows.
 
-    Queries that ask for the same symbols share one computation, and mentions
-    are reduced to one row per symbol and URL before they meet the queries.
+    Queries that ask for the same symbols share one computation, and each
+    symbol brings only the rows that can matter.  The row that represents a URL
+    is its highest id among the symbols asked for.  Where a symbol holds that
+    very row, its place in time is the same for every query, so the symbol's k
+    newest such rows are enough; only the rare other rows are all kept.
     """
     sets = wanted.groupBy("query_id").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
     members = sets.select("symbols").distinct().select("symbols", F.explode("symbols").alias("symbol"))
@@ -182,7 +185,11 @@ def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
         F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "source", "title", "url", "timestamp", "sentiment"
     )
     latest = first_per_key(rows, F.struct("symbol", "url"), ["id", "timestamp", "sentiment"], latest=True)
-    news = topk.latest_per_url(latest.join(members, "symbol").drop("symbol"), k, ["symbols"])
+    # a URL has at most one row per symbol here, so this window is bounded by the dimension
+    top = latest.withColumn("_own", F.col("id") == F.max("id").over(Window.partitionBy("url")))
+    newest = Window.partitionBy("symbol", "_own").orderBy(F.desc("timestamp"), F.desc("id"))
+    useful = top.withColumn("_n", F.row_number().over(newest)).filter((F.col("_n") <= k) | ~F.col("_own"))
+    news = topk.latest_per_url(useful.drop("_own", "_n").join(members, "symbol").drop("symbol"), k, ["symbols"])
     return sets.join(news, "symbols").drop("symbols").withColumn("sentiment", scores.round4("sentiment"))
 
 

@@ -20,7 +20,7 @@ def _with_batch(spec: T.StructType) -> T.StructType:
     return T.StructType([*spec.fields, T.StructField("batch", T.LongType())])
 
 
-def _load(spark: SparkSession, path: str, spec: T.StructType) -> DataFrame:
+def load_table(spark: SparkSession, path: str, spec: T.StructType) -> DataFrame:
     """A table of the store; empty before the first write."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
@@ -29,11 +29,11 @@ def _load(spark: SparkSession, path: str, spec: T.StructType) -> DataFrame:
 
 
 def load_articles(spark: SparkSession, store: str) -> DataFrame:
-    return _load(spark, f"{store}/articles", _with_batch(schema.ARTICLES))
+    return load_table(spark, f"{store}/articles", _with_batch(schema.ARTICLES))
 
 
 def load_mentions(spark: SparkSession, store: str) -> DataFrame:
-    return _load(spark, f"{store}/mentions", _with_batch(schema.MENTIONS))
+    return load_table(spark, f"{store}/mentions", _with_batch(schema.MENTIONS))
 
 
 def feed_tables(items: DataFrame, tickers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions import minhash, times
+from ..functions import minhash, times, vocab
 from ..operators import dedup, facts as fx, maintenance
 from ..operators.filters import exclude_sources
 from ..plans import trending
@@ -100,41 +100,46 @@ def stream_near_dup(feed: DataFrame, path: str, checkpoint: str, arrived: Callab
     """Store the items of each micro-batch that copy nothing stored in the last day nor each other.
 
     `arrived` gives the ingestion time of a batch.  The decision is the batch
-    rule: earlier kept items win, exactly.
+    rule: earlier kept items win, exactly.  The store is laid out by ingestion
+    day, so a batch reads two days of it, however old the store is.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark, now = batch.sparkSession, arrived()
         signed = durable(batch.withColumn("minhash_signature", minhash.signature(text_col)))
         spec = T.StructType([
-            *signed.schema.fields, T.StructField("created_at", T.TimestampType()), T.StructField("batch", T.LongType())
+            *signed.schema.fields, T.StructField("created_at", T.TimestampType()),
+            T.StructField("day", T.DateType()), T.StructField("batch", T.LongType()),
         ])
-        stored = store._load(spark, path, spec).filter(F.col("batch") < batch_id)
+        first_day = (now - dt.timedelta(hours=vocab.NEAR_DUP_HOURS)).date()
+        stored = store.load_table(spark, path, spec).filter((F.col("batch") < batch_id) & (F.col("day") >= F.lit(first_day)))
         recent = dedup.recent_signatures(stored, now)
         kept = dedup.drop_near_duplicates(
             signed, None if recent.isEmpty() else recent, order, id_col=id_col)
-        stamp = times.literal_like(stored, "created_at", now)
+        stamped = kept.withColumn("created_at", times.literal_like(stored, "created_at", now))
         (
-            kept.withColumn("created_at", stamp).withColumn("batch", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+            stamped.withColumn("day", F.to_date("created_at")).withColumn("batch", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
         )
 
     return feed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_board(feed: DataFrame, tickers: DataFrame, store_path: str, board_path: str, checkpoint: str,
-                 trigger: dict | None = None) -> StreamingQuery:
+                 trigger: dict | None = None, now: Callable[[], dt.datetime] | None = None) -> StreamingQuery:
     """Add each micro-batch of mention facts to the store and rewrite the boards.
 
-    Boards are dated by the newest stored publication time.  Pass
+    Boards are dated by `now`, or by the newest stored publication time; the
+    ranking reads the dates of its seven days only.  Pass
     `trigger={"processingTime": "1 minute"}` for the minute refresh.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         dated = batch.withColumn("dt", F.to_date("timestamp"))
         store.write_table(dated, store_path, batch_id)
-        facts = batch.sparkSession.read.parquet(store_path)
-        as_of = times.latest_timestamp(facts)
+        spec = T.StructType([*dated.schema.fields, T.StructField("batch", T.LongType())])
+        facts = store.load_table(batch.sparkSession, store_path, spec)
+        as_of = now() if now else times.latest_timestamp(facts)
         if as_of is not None:
             store.write_leaderboard(trending.trending(facts, tickers, as_of), board_path)
 

@@ -73,23 +73,23 @@ def news_sql(window: str, exact: bool = False) -> str:
     return sql
 
 
-for _w in ("6h", "24h", "7d"):
+for _w in ("6h", "24h", "3d", "7d"):
     query(f"ticker_news_{_w}", news_sql(_w) + " select * from news")(
         lambda v, w=_w: ticker.ticker_news(v.tickers.select("symbol"), v.titled_facts, w, v.as_of)
     )
 
 
-@query("title_dedupe", """select symbol, count(*) kept from (
+@query("dedupe_titles", """select symbol, count(*) kept from (
   select ticker symbol, coalesce(nullif(lower(trim(regexp_replace(title,'\\s+-\\s+[^-]+$',''))),''), cast(article_id as varchar)) k
   from facts group by 1,2) group by 1""")
-def title_dedupe(v: Views):
+def dedupe_titles(v: Views):
     news = v.titled_facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
     return topk.dedupe_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"))
 
 
-@query("exact_title_dedupe", """select ticker as symbol, count(distinct lower(trim(coalesce(title, cast(article_id as varchar))))) kept
+@query("dedupe_exact_titles", """select ticker as symbol, count(distinct lower(trim(coalesce(title, cast(article_id as varchar))))) kept
   from facts group by 1""")
-def exact_title_dedupe(v: Views):
+def dedupe_exact_titles(v: Views):
     news = v.titled_facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
     return topk.dedupe_exact_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"))
 
@@ -102,8 +102,8 @@ def timeline_sql(window: str) -> str:
               arg_min(id, row("timestamp", id)) article_id from ms group by 1,2)"""
 
 
-for _w in ("24h", "7d"):
-    query(f"ticker_timeline_{_w}", timeline_sql(_w) + f" select symbol, ts, {r4('sentiment')} sentiment, mentions, article_id from points")(
+for _w in ("6h", "24h", "3d", "7d"):
+    query(f"sentiment_timeline_{_w}", timeline_sql(_w) + f" select symbol, ts, {r4('sentiment')} sentiment, mentions, article_id from points")(
         lambda v, w=_w: ticker.ticker_timeline(v.tickers.select("symbol"), v.titled_facts, w, v.as_of).withColumn(
             "sentiment", scores.round4("sentiment"))
     )
@@ -160,8 +160,8 @@ def latest_per_url(v: Views):
     return topk.latest_per_url(news, 10, ["ticker"]).withColumn("sentiment", scores.round4("sentiment"))
 
 
-@query("url_latest", """select url, max(id) id from articles group by 1""")
-def url_latest(v: Views):
+@query("url_dedupe", """select url, max(id) id from articles group by 1""")
+def url_dedupe(v: Views):
     return topk.latest_per_url(v.articles, None).select("url", "id")
 
 
@@ -291,31 +291,51 @@ def search_tickers(v: Views):
     return answered(v).tickers
 
 
-@query("search_news", SEARCH + f""",
+NEWS = f""",
  cn as (select c.query_id, f.article_id id, f.source, f.title, f.url, f.ts, f.sentiment,
    row_number() over (partition by c.query_id, f.url order by f.article_id desc, f.ts desc, f.sentiment desc nulls last) n
    from chosen c join facts f on f.ticker=c.symbol),
- tn as (select *, row_number() over (partition by query_id order by ts desc, id desc) as rank from cn where n=1)
- select query_id, rank, id, source, title, url, ts as "timestamp", {r4('sentiment')} sentiment from tn where rank<=10
+ tn as (select *, row_number() over (partition by query_id order by ts desc, id desc) as rank from cn where n=1),
+ search_rows as (select query_id, rank, id, source, title, url, ts as "timestamp", {r4('sentiment')} sentiment from tn where rank<=10
  union all
  select n.query_id, n.rn, n.id, a.source, a.title, a.url, a."timestamp", s.s from near n join articles a on a.id=n.id
- left join (select article_id, {r4(mean('sentiment'))} s from mentions group by 1) s on s.article_id=n.id""")
+ left join (select article_id, {r4(mean('sentiment'))} s from mentions group by 1) s on s.article_id=n.id)"""
+
+
+@query("search_news", SEARCH + NEWS + "select * from search_rows")
 def search_news(v: Views):
     return answered(v).news
 
 
-@query("search_trends", SEARCH + f""",
+TRENDS = f""",
  wanted as (select query_id, symbol from chosen union all select query_id, symbol from related),
  tr as (select w.query_id, w.symbol, cast(coalesce(m1,0) as bigint) mentions_1h, coalesce(m,0) mentions_24h, {r4("coalesce(s,0e0)")} sentiment,
    {r4("coalesce(m1,0)*3e0+coalesce(m,0)*1.5e0+coalesce(s,0e0)*2e0")} score,
    coalesce(m,0)>0 and cast(coalesce(m1,0) as double) > cast(coalesce(m,0) as double)/24e0*2e0 spike
-   from wanted w left join recent on ticker=w.symbol)
- select query_id, rank, symbol, mentions_1h, mentions_24h, sentiment, score, spike from (
-   select *, row_number() over (partition by query_id order by score desc, symbol) as rank from tr) where rank<=10""")
+   from wanted w left join recent on ticker=w.symbol),
+ trend_rows as (select query_id, rank, symbol, mentions_1h, mentions_24h, sentiment, score, spike from (
+   select *, row_number() over (partition by query_id order by score desc, symbol) as rank from tr) where rank<=10)"""
+
+
+@query("search_trends", SEARCH + TRENDS + "select * from trend_rows")
 def search_trends(v: Views):
     return answered(v).trends
 
 
+@query("search_batch", SEARCH + NEWS + TRENDS + """
+ select i.query_id, intent, coalesce(t.l,'') tickers, coalesce(n.l,'') news, coalesce(r.l,'') trends from intents i
+ left join (select query_id, string_agg(symbol,'|' order by rank) l from best group by 1) t on t.query_id=i.query_id
+ left join (select query_id, string_agg(cast(id as varchar),'|' order by rank) l from search_rows group by 1) n on n.query_id=i.query_id
+ left join (select query_id, string_agg(symbol,'|' order by rank) l from trend_rows group by 1) r on r.query_id=i.query_id""")
+def search_batch(v: Views):
+    """The nested answer of every query, its lists shown as text."""
+    pages = answered(v).nested()
+    return pages.select(
+        "query_id", "intent", F.array_join("tickers.symbol", "|").alias("tickers"),
+        F.array_join(F.transform("news", lambda n: n["id"].cast("string")), "|").alias("news"),
+        F.array_join("trend_data.symbol", "|").alias("trends"))
+
+
 # Vectors: the mean vector of each label looks for its nearest rows
 
 CENTRES = """,

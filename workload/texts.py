@@ -201,13 +201,24 @@ def toy_recogniser(texts: list[str]) -> list[list[tuple[str, str]]]:
     return out
 
 
-@query("recognise")
+@query("recognise", KEYWORDS + """, parts as (select id, string_split(content,' ') p from articles),
+ cand as (select id, p[1] c from parts where len(p)>2 union all select id, p[3] from parts where len(p)>2),
+ words as (select distinct id, unnest(regexp_extract_all(lower(c),'[\\p{L}\\p{N}_]+')) w from cand where not regexp_matches(upper(c),'^[A-Z]{1,5}$'))
+ select id, upper(c) symbol from cand where regexp_matches(upper(c),'^[A-Z]{1,5}$') and upper(c) in (select symbol from tickers)
+ union select words.id, kw.symbol from words join kw on kw.w=words.w""")
 def recognise(v: Views):
     candidates = extract.recognise(v.articles, toy_recogniser)
     return extract.resolve_candidates(candidates, v.tickers)
 
 
-@query("score_mentions")
+def _count(words) -> str:
+    return "+".join(f"(length(a)-length(replace(a,'{w}','')))/{len(w)}e0" for w in words)
+
+
+@query("score_mentions", f""", judged as (select article_id, ticker, {_count(models.LexiconScorer.GOOD)} g, {_count(models.LexiconScorer.BAD)} b
+   from (select m.article_id, m.ticker, lower(concat(title,e'\\n\\n',content)) a from mentions m join articles on articles.id=m.article_id))
+ select article_id, ticker, true is_relevant, case when g+b>0 then {r4('(g-b)/(g+b)')} else 0e0 end sentiment,
+   concat(ticker,': ',cast(g as bigint),'/',cast(b as bigint)) summary from judged""")
 def score_mentions(v: Views):
     """The lexicon stand-in judges every (article, ticker) pair."""
     pairs = v.mentions.select("article_id", "ticker").join(
@@ -225,13 +236,17 @@ def hashing_encoder(texts: list[str]) -> np.ndarray:
     return out
 
 
-@query("embed")
+LETTERS = """, letters as (select doc_id id, unicode(unnest(string_split(text,''))) %32 d from documents),
+ vec as (select id, sum(case when d=1 then n else 0 end)/sqrt(sum(n*n)) x from (select id, d, count(*) n from letters group by 1,2) group by 1)"""
+
+
+@query("embed", LETTERS + f" select id doc_id, 32 dim, {r4('cast(cast(x as float) as double)')} weight from vec")
 def embed(v: Views):
     docs = models.embed(documents(v), hashing_encoder)
-    return docs.select("doc_id", F.size("embedding").alias("dim"))
+    return docs.select("doc_id", F.size("embedding").alias("dim"), scores.round4(F.col("embedding")[1].cast("double")).alias("weight"))
 
 
-@query("embedding_backfill")
+@query("embedding_backfill", """ select doc_id id, case when doc_id in (select doc_id from labels) then 1 else 32 end dim from documents""")
 def embedding_backfill(v: Views):
     done = v.table("labels").select("doc_id", F.lit(True).alias("done")).distinct()
     docs = documents(v).join(done, "doc_id", "left").select(
