@@ -73,14 +73,12 @@ def expire_store(spark: SparkSession, store_path: str, as_of: dt.datetime, days:
     """
     cutoff = as_of - dt.timedelta(days=days)
     edge = cutoff.date()
-    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     articles = store.load_articles(spark, store_path).filter(F.col("dt") == F.lit(edge))
     mentions = store.load_mentions(spark, store_path).filter(F.col("dt") == F.lit(edge))
     kept, owned = retain(articles, mentions, as_of, days)
     edge_rows = {"articles": durable(kept), "mentions": durable(owned)}
     for table, rows in edge_rows.items():
-        root = hadoop(f"{store_path}/{table}")
-        fs = root.getFileSystem(conf)
+        fs, root = store.file_system(spark, f"{store_path}/{table}")
         if not fs.exists(root):
             continue
         for entry in fs.listStatus(root):

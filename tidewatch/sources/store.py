@@ -20,10 +20,16 @@ def _with_batch(spec: T.StructType) -> T.StructType:
     return T.StructType([*spec.fields, T.StructField("batch", T.LongType())])
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and the path as that system's object."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
 def load_table(spark: SparkSession, path: str, spec: T.StructType) -> DataFrame:
     """A table of the store; empty before the first write."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+    fs, jpath = file_system(spark, path)
+    if not fs.exists(jpath):
         return spark.createDataFrame([], spec)
     return spark.read.schema(spec).parquet(path)
 

@@ -26,12 +26,14 @@ from ..sources import store
 LATENESS = "7 days"
 
 
-def stream_files(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None,
+def stream_files(spark: SparkSession, path: str, schema: T.StructType,
                  files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet snapshots as they arrive in a folder."""
+    """Parquet snapshots as they arrive in a folder; a single file counts as one snapshot."""
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    fs, jpath = store.file_system(spark, path)
+    if fs.exists(jpath) and fs.getFileStatus(jpath).isFile():
+        reader = reader.option("pathGlobFilter", jpath.getName())
+        path = jpath.getParent().toString()
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch import session
 from tidewatch.functions import minhash
@@ -47,7 +48,8 @@ def mention_stream(v: Views) -> DataFrame:
 def run_updates(v: Views, stream: DataFrame, mode: str = "update") -> DataFrame:
     out, checkpoint = session.scratch_path(v.spark, "stream"), session.scratch_path(v.spark, "offsets")
     finish(jobs.write_updates(stream, out, checkpoint, mode))
-    return v.spark.read.parquet(out)
+    spec = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return store.load_table(v.spark, out, spec)
 
 
 @query("stream_hourly", f"select ticker, date_trunc('hour',ts) hour_bucket, count(*) mentions from facts where {COUNTED} group by 1,2")
@@ -94,7 +96,7 @@ def stream_board(v: Views):
 
 @query("stream_files", "select event_type, count(*) n from events group by 1")
 def stream_files(v: Views):
-    feed = jobs.stream_files(v.spark, v.dir, v.table("events").schema, "events.parquet", 1)
+    feed = jobs.stream_files(v.spark, f"{v.dir}/events.parquet", v.table("events").schema, files_per_trigger=1)
     counts = feed.groupBy("event_type").agg(F.count("*").alias("n"))
     return jobs.latest_update(run_updates(v, counts), ["event_type"], ["n"])
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewatch import session
 from tidewatch.functions import times
 from tidewatch.operators import facts as fx
+from tidewatch.streaming import jobs
 
 SOURCES = (
     "alphavantage", "polygon", "finnhub_general", "finnhub_company", "finnhub_insider", "yahoo_rss",
@@ -314,5 +315,5 @@ class Views:
     # Streams
 
     def event_stream(self, name: str = "events") -> DataFrame:
-        return self.spark.readStream.schema(self.table(name).schema).option(
-            "pathGlobFilter", f"{name}.parquet").parquet(self.dir)
+        """The files of a table as a stream; the table may be one file or a folder."""
+        return jobs.stream_files(self.spark, f"{self.dir}/{name}.parquet", self.table(name).schema)
