@@ -20,7 +20,7 @@ SLOT_MS = 900_000
 
 def epoch_ms(column: Column | str) -> Column:
     c = F.col(column) if isinstance(column, str) else column
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(1000)).cast("bigint")
+    return F.unix_millis(c.cast("timestamp"))
 
 
 def sentiment_timeline(news: DataFrame, window: str) -> DataFrame:

@@ -45,7 +45,7 @@ def ranking(hours: int, sector: str | None = None) -> str:
                    m1 mentions_1h, m mentions_24h, {r4('s')} sentiment, 0e0 price_change_pct, {r4('z')} z_score, z>=2e0 spike
             from joined),
  board_rows as (select 'global' board, * from ranked union all select sector, * from ranked),
- boards as (select * from (select *, row_number() over (partition by board order by score desc, symbol) as rank from board_rows) where rank<=10)
+ boards as (select * from (select *, cast(row_number() over (partition by board order by score desc, symbol) as integer) as rank from board_rows) where rank<=10)
 """
 
 
@@ -111,7 +111,7 @@ def relative_score(v: Views):
 
 
 @query("board_rank", ranking(72) + """select sector, symbol, score,
-  row_number() over (partition by sector order by score desc, symbol) as rank from (
+  cast(row_number() over (partition by sector order by score desc, symbol) as integer) as rank from (
    select *, row_number() over (partition by sector order by score desc, symbol) rn from ranked) where rn<=10""")
 def board_rank(v: Views):
     return topk.with_rank(topk.top_per_sector(ranked(v, 72)), ["sector"]).select("sector", "symbol", "score", "rank")

@@ -275,7 +275,7 @@ SEARCH = INTENT + RECENT + f""",
    union all select query_id, pos, symbol, company_name, sector, score, mentions_24h, sentiment from exact
    union all select query_id, pos, symbol, company_name, sector, score, mentions_24h, sentiment from rel_best where rn<=10
    union all select query_id, pos, symbol, company_name, sector, 0e0, 0, null from partial),
- best as (select * from (select *, row_number() over (partition by query_id order by pos, score desc, symbol) as rank from flat) where rank<=10),
+ best as (select * from (select *, cast(row_number() over (partition by query_id order by pos, score desc, symbol) as integer) as rank from flat) where rank<=10),
  chosen as (select query_id, symbol from flat where query_id in (select query_id from intents where intent in ('sector_search','ticker_lookup')))
 """
 
@@ -295,10 +295,10 @@ NEWS = f""",
  cn as (select c.query_id, f.article_id id, f.source, f.title, f.url, f.ts, f.sentiment,
    row_number() over (partition by c.query_id, f.url order by f.article_id desc, f.ts desc, f.sentiment desc nulls last) n
    from chosen c join facts f on f.ticker=c.symbol),
- tn as (select *, row_number() over (partition by query_id order by ts desc, id desc) as rank from cn where n=1),
+ tn as (select *, cast(row_number() over (partition by query_id order by ts desc, id desc) as integer) as rank from cn where n=1),
  search_rows as (select query_id, rank, id, source, title, url, ts as "timestamp", {r4('sentiment')} sentiment from tn where rank<=10
  union all
- select n.query_id, n.rn, n.id, a.source, a.title, a.url, a."timestamp", s.s from near n join articles a on a.id=n.id
+ select n.query_id, cast(n.rn as integer), n.id, a.source, a.title, a.url, a."timestamp", s.s from near n join articles a on a.id=n.id
  left join (select article_id, {r4(mean('sentiment'))} s from mentions group by 1) s on s.article_id=n.id)"""
 
 
@@ -314,7 +314,7 @@ TRENDS = f""",
    coalesce(m,0)>0 and cast(coalesce(m1,0) as double) > cast(coalesce(m,0) as double)/24e0*2e0 spike
    from wanted w left join recent on ticker=w.symbol),
  trend_rows as (select query_id, rank, symbol, mentions_1h, mentions_24h, sentiment, score, spike from (
-   select *, row_number() over (partition by query_id order by score desc, symbol) as rank from tr) where rank<=10)"""
+   select *, cast(row_number() over (partition by query_id order by score desc, symbol) as integer) as rank from tr) where rank<=10)"""
 
 
 @query("search_trends", SEARCH + TRENDS + "select * from trend_rows")
@@ -360,7 +360,7 @@ def corpus(v: Views):
  vn as (select vec_id, sqrt(sum(cast(x as double)*cast(x as double))) n from dims group by 1),
  dd as (select c.query_id, v.vec_id id, sum(c.x*cast(v.x as double)) dot from centres c join dims v on v.d=c.d group by 1,2),
  dist as (select dd.query_id, id, floor((1e0-dot/(cn.n*vn.n))*1e6+0.5e0)/1e6 distance from dd join cn on cn.query_id=dd.query_id join vn on vn.vec_id=id)
- select query_id, id, distance, rank from (select *, row_number() over (partition by query_id order by distance, id) as rank from dist) where rank<=10""")
+ select query_id, id, distance, rank from (select *, cast(row_number() over (partition by query_id order by distance, id) as integer) as rank from dist) where rank<=10""")
 def knn_articles(v: Views):
     return vector.knn(centres(v), corpus(v), 10)
 
