@@ -98,8 +98,9 @@ def test_batch_keywords_equal_single(spark, tables, monkeypatch):
     _, articles, _ = tables
     queries = ["alpha quarter", "falls of x", "nothing rises"]
     log = spark.createDataFrame([(q, q) for q in queries], "query_id string, raw_query string")
-    for plain, automaton in ((32, sx.ahocorasick), (0, sx.ahocorasick), (0, None)):
+    for plain, automaton, per_pass in ((32, sx.ahocorasick, 100), (0, sx.ahocorasick, 100), (0, None, 100), (0, sx.ahocorasick, 2)):
         monkeypatch.setattr(sx, "PLAIN_WORDS", plain)
+        monkeypatch.setattr(sx, "WORDS_PER_PASS", per_pass)
         monkeypatch.setattr(sx, "ahocorasick", automaton)
         batch = {}
         for row in sx.keyword_search_batch(log, articles).collect():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -129,10 +130,13 @@ def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab
     """
     words = queries.select("query_id", F.explode(F.split(F.lower("raw_query"), r"(?U)\s+")).alias("word")).filter(
         F.length("word") > 2).distinct()
-    vocabulary = sorted(r["word"] for r in words.select("word").distinct().toLocalIterator())
+    distinct = words.select("word").distinct()
+    count = max(math.ceil(distinct.count() / WORDS_PER_PASS), 1)
+    share = F.pmod(F.xxhash64("word"), F.lit(count).cast("bigint"))
+    # a pass holds about WORDS_PER_PASS words; the driver sees one pass at a time
+    passes = [sorted(r["word"] for r in distinct.filter(share == i).collect()) for i in range(count)]
     body = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     base = articles.select("id", "source", "title", "url", "timestamp", body.alias("_body"))
-    passes = [vocabulary[i: i + WORDS_PER_PASS] for i in range(0, max(len(vocabulary), 1), WORDS_PER_PASS)]
     matched = reduce(DataFrame.unionByName, [_word_hits(base, part) for part in passes])
     latest = first_per_key(matched, F.struct("word", "url"), ["id", "timestamp"], latest=True)
     news = topk.latest_per_url(latest.join(words, "word").drop("word"), k, ["query_id"])

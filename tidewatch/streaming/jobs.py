@@ -101,20 +101,24 @@ def stream_near_dup(feed: DataFrame, path: str, checkpoint: str, arrived: Callab
                     order: list[str], id_col: str = "id", text_col: str = "content") -> StreamingQuery:
     """Store the items of each micro-batch that copy nothing stored in the last day nor each other.
 
-    `arrived` gives the ingestion time of a batch.  The decision is the batch
-    rule: earlier kept items win, exactly.  The store is laid out by ingestion
-    day, so a batch reads two days of it, however old the store is.
+    `arrived` gives the ingestion time of a batch; a replayed batch keeps the
+    time of its first attempt.  The decision is the batch rule: earlier kept
+    items win, exactly.  The store is laid out by ingestion day, so a batch
+    reads two days of it, however old the store is.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        spark, now = batch.sparkSession, arrived()
+        spark = batch.sparkSession
         signed = durable(batch.withColumn("minhash_signature", minhash.signature(text_col)))
         spec = T.StructType([
             *signed.schema.fields, T.StructField("created_at", T.TimestampType()),
             T.StructField("day", T.DateType()), T.StructField("batch", T.LongType()),
         ])
+        table = store.load_table(spark, path, spec)
+        before = times.latest_timestamp(table.filter(F.col("batch") == batch_id), "created_at")
+        now = before or arrived()
         first_day = (now - dt.timedelta(hours=vocab.NEAR_DUP_HOURS)).date()
-        stored = store.load_table(spark, path, spec).filter((F.col("batch") < batch_id) & (F.col("day") >= F.lit(first_day)))
+        stored = table.filter((F.col("batch") < batch_id) & (F.col("day") >= F.lit(first_day)))
         recent = dedup.recent_signatures(stored, now)
         kept = dedup.drop_near_duplicates(
             signed, None if recent.isEmpty() else recent, order, id_col=id_col)
