@@ -48,6 +48,14 @@ def test_ranking(tables):
     assert got["FUT"].mentions_1h == 1
 
 
+def test_as_of_may_carry_a_zone(tables):
+    facts, tickers = tables
+    facts = facts.withColumn("dt", F.to_date("timestamp"))
+    zoned = AS_OF.replace(tzinfo=dt.timezone.utc).astimezone(dt.timezone(dt.timedelta(hours=13)))
+    assert trending.rank_tickers(facts, tickers, zoned).exceptAll(trending.rank_tickers(facts, tickers, AS_OF)).count() == 0
+    assert fx.mentions_last(facts, zoned, 24).count() == fx.mentions_last(facts, AS_OF, 24).count() > 0
+
+
 def test_boards_are_sorted_and_capped(spark):
     ranked = spark.range(100).select(
         F.concat(F.lit("S"), "id").alias("symbol"), F.concat(F.lit("sector"), (F.col("id") % 3).cast("string")).alias("sector"),

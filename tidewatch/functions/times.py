@@ -61,12 +61,15 @@ def parse_source_ts(raw: Column | str, fmt: str, fallback: Column, strict: bool
     return F.coalesce(parsed, fallback)
 
 
+def utc(value: dt.datetime) -> dt.datetime:
+    """The same moment in UTC without a zone; a value without one is taken as UTC."""
+    return value.astimezone(dt.timezone.utc).replace(tzinfo=None) if value.tzinfo else value
+
+
 def literal_like(df: DataFrame, column: str, value: dt.datetime) -> Column:
     """A timestamp literal of the column's own type, so the filter is pushed down."""
     kind = df.schema[column].dataType.simpleString()
-    if value.tzinfo is not None:
-        value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
-    text = value.isoformat(sep=" ")
+    text = utc(value).isoformat(sep=" ")
     if kind == "timestamp":
         text += "+00:00"
     return F.lit(text).cast(kind)

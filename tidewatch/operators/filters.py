@@ -27,7 +27,7 @@ def since(df: DataFrame, as_of: dt.datetime, hours: float, column: str = "timest
     delta = dt.timedelta(hours=hours)
     out = df.filter(after(df, as_of, delta, column))
     if "dt" in df.columns and column == "timestamp":
-        out = out.filter(F.col("dt") >= F.lit((as_of - delta).date()))
+        out = out.filter(F.col("dt") >= F.lit((times.utc(as_of) - delta).date()))
     return out
 
 

@@ -71,8 +71,7 @@ def expire_store(spark: SparkSession, store_path: str, as_of: dt.datetime, days:
     Whole dates are removed as partitions, without reading them; only the date
     that holds the cutoff is rewritten.
     """
-    cutoff = as_of - dt.timedelta(days=days)
-    edge = cutoff.date()
+    edge = (times.utc(as_of) - dt.timedelta(days=days)).date()
     articles = store.load_articles(spark, store_path).filter(F.col("dt") == F.lit(edge))
     mentions = store.load_mentions(spark, store_path).filter(F.col("dt") == F.lit(edge))
     kept, owned = retain(articles, mentions, as_of, days)

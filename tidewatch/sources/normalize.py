@@ -31,8 +31,7 @@ def read_records(source: DataFrame | str, record: T.StructType, spark: SparkSess
 
 
 def _now(ingested_at: dt.datetime) -> Column:
-    text_ = ingested_at.astimezone(dt.timezone.utc) if ingested_at.tzinfo else ingested_at
-    return F.lit(text_.replace(tzinfo=None).isoformat(sep=" ") + "+00:00").cast("timestamp")
+    return F.lit(times.utc(ingested_at).isoformat(sep=" ") + "+00:00").cast("timestamp")
 
 
 def _filled(*columns: str) -> Column:

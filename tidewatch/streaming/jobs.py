@@ -117,7 +117,7 @@ def stream_near_dup(feed: DataFrame, path: str, checkpoint: str, arrived: Callab
         table = store.load_table(spark, path, spec)
         before = times.latest_timestamp(table.filter(F.col("batch") == batch_id), "created_at")
         now = before or arrived()
-        first_day = (now - dt.timedelta(hours=vocab.NEAR_DUP_HOURS)).date()
+        first_day = (times.utc(now) - dt.timedelta(hours=vocab.NEAR_DUP_HOURS)).date()
         stored = table.filter((F.col("batch") < batch_id) & (F.col("day") >= F.lit(first_day)))
         recent = dedup.recent_signatures(stored, now)
         kept = dedup.drop_near_duplicates(
