@@ -69,7 +69,8 @@ def expire_store(spark: SparkSession, store_path: str, as_of: dt.datetime, days:
     """Apply retention to a stored feed.
 
     Whole dates are removed as partitions, without reading them; only the date
-    that holds the cutoff is rewritten.
+    that holds the cutoff is rewritten, and nothing is removed before its
+    surviving rows are in place, so an interrupted run can simply be repeated.
     """
     edge = (times.utc(as_of) - dt.timedelta(days=days)).date()
     articles = store.load_articles(spark, store_path).filter(F.col("dt") == F.lit(edge))
@@ -77,13 +78,20 @@ def expire_store(spark: SparkSession, store_path: str, as_of: dt.datetime, days:
     kept, owned = retain(articles, mentions, as_of, days)
     edge_rows = {"articles": durable(kept), "mentions": durable(owned)}
     for table, rows in edge_rows.items():
-        fs, root = store.file_system(spark, f"{store_path}/{table}")
+        path = f"{store_path}/{table}"
+        fs, root = store.file_system(spark, path)
         if not fs.exists(root):
             continue
-        for entry in fs.listStatus(root):
-            name = entry.getPath().getName()
-            if name.startswith("dt=") and name[3:] <= edge.isoformat():
-                fs.delete(entry.getPath(), True)
         (
-            rows.write.mode("append").partitionBy("dt", "batch").parquet(f"{store_path}/{table}")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("dt", "batch").parquet(path)
         )
+        alive = {f"batch={r['batch']}" for r in rows.select("batch").distinct().collect()}
+        for entry in fs.listStatus(root):
+            day = entry.getPath().getName().removeprefix("dt=")
+            if day == edge.isoformat():
+                for part in fs.listStatus(entry.getPath()):
+                    if part.getPath().getName() not in alive:
+                        fs.delete(part.getPath(), True)
+            elif entry.getPath().getName().startswith("dt=") and day < edge.isoformat():
+                fs.delete(entry.getPath(), True)
