@@ -28,6 +28,15 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: Rows of a table that may be sent to every task.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, marked for broadcasting if it has at most BROADCAST_ROWS; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on one key that may hold a third of the left rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, mixing, quality, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -32,12 +32,65 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op2_mixing", f"""
+with d as (select doc_id, source, cast(len({WORDS}) as bigint) size from documents),
+s as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) - 1 place from d group by source),
+w as (select *, list_extract([3e0, 1e0, 2e0], cast(place % 3 + 1 as integer)) weight, 2 * cast(source_size as double) cap from s),
+r as (select *, cap / weight need from w),
+q as (select *, (1.5e0 * sum(cast(source_size as double)) over ()
+          - coalesce(sum(cap) over (order by need, place rows between unbounded preceding and 1 preceding), 0e0))
+        / sum(weight) over (order by need, place rows between current row and unbounded following) rate from r),
+g as (select *, least(cap, max(case when rate <= need then rate end) over () * weight) target from q),
+t as (select *, cast(round(target) as bigint) goal from g),
+l as (select d.*, coalesce(sum(size) over (partition by source order by md5(coalesce(cast(doc_id as varchar), '')), size
+        rows between unbounded preceding and 1 preceding), 0) start from d)
+select doc_id, size, source_size, target, l.source,
+       cast(case when source_size = 0 then 0 else (goal // source_size) * size
+            + greatest(0, least(size, goal % source_size - start)) end as bigint) taken
+from l join t on l.source is not distinct from t.source
+""")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_quality", rf"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') text, {WORDS} words from documents),
+w as (select rid, unnest(words) word, generate_subscripts(words, 1) i from d),
+g as (select *, lead(word, 1) over p next, case when lead(word, 4) over p is not null then concat_ws(' ', word, lead(word, 1) over p,
+        lead(word, 2) over p, lead(word, 3) over p, lead(word, 4) over p) end five from w window p as (partition by rid order by i)),
+h as (select *, case when five is not null and count(*) over (partition by rid, five) > 1 then 1 else 0 end hit from g),
+c as (select *, max(hit) over (partition by rid order by i rows between 4 preceding and current row) covered from h),
+a as (select rid, count(*) n_words, sum(length(word)) word_chars, sum(covered) n_repeat_words, count(case when word = next then 1 end) stutter,
+        count(case when regexp_matches(word, '\p{{L}}') then 1 end) letters, count(case when word like '%!!' then 1 end) loud from c group by rid),
+b as (select doc_id, text, coalesce(n_words, 0) n_words, cast(coalesce(word_chars, 0) as bigint) word_chars,
+        cast(coalesce(n_repeat_words, 0) as bigint) n_repeat_words, stutter, letters, loud, string_split(text, chr(10)) every_line,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) lines,
+        length(text) - length(translate(text, '#*$%&|<>', '')) n_symbols,
+        length(text) - length(translate(text, '{quality.CAPITALS}', '')) capitals
+      from d left join a using (rid)),
+e as (select *, len(lines) - len(list_distinct(lines)) n_dup_lines, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from b)
+select doc_id, n_words, word_chars, cast(n_symbols as bigint) n_symbols, cast(n_dup_lines as bigint) n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words
+         or 2 * n_dup_lines > len(every_line) or 10 * letters < 6 * n_words or 2 * loud > n_words or 10 * capitals > 7 * word_chars
+         or 3 * stutter > n_words) kept
+from e
+""")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality figures and verdict of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
