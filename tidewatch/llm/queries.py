@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, language, mixing, quality, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -91,6 +91,25 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def fold(parts: int):
+    """The part of a row, by a checksum of its doc_id as text; an absent doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
+
+
+def known_languages(docs: DataFrame) -> DataFrame:
+    """The rows a language model may learn from."""
+    return docs.where(fold(4) != 2)
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, and the mixture it comes from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(known_languages(docs))
+    found = docs.select("doc_id", (fold(4) == 2).alias("held_out"), language.identify(F.col("text"), model).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages", "found.shares")
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""
