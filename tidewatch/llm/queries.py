@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, quality, simhash
+from . import bpe, language, mixing, quality, simhash, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -63,6 +63,42 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+
+
+@query("op4_urls", r"""
+with recursive rules(kind, name, start) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+    ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p as (select row_number() over () rid, page_id, url, html,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path,
+        case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1) end rest from pages),
+fit as (select rid, arg_max(struct_pack(rule := name || start, kind := kind), (length(name) + length(start), length(name))) best from p, rules
+    where (host = name or ends_with(host, '.' || name)) and starts_with(path, start) group by rid),
+links as (select url, host, rest, unnest([regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>)', 1),
+        '(?is)\bhref\s*=\s*["'']?(https?://[^"''\s>]+)', 1), regexp_extract(regexp_extract(html,
+        '(?is)(<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*(https?://[^"''>]+)', 1)]) link
+    from p where rest is not null),
+edge as (select host || case when rest = '' then '/' else rest end a,
+        lower(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1)) || coalesce(nullif(regexp_extract(link, '(?s)^.*?://[^/?#]*([^#]*)', 1), ''), '/') b
+    from links where link <> ''),
+both_ways as (select a, b from edge union select b, a from edge),
+reach(node, other) as (select a, b from both_ways union select r.node, e.b from reach r join both_ways e on e.a = r.other),
+n as (select p.*, best.rule as rule, best.kind own, host || case when rest = '' then '/' else rest end node from p left join fit using (rid)),
+known as (select node, min(own) own from n where own is not null and node is not null group by node),
+alias as (select node, min(own) own from (select node, own from known union all
+    select r.node, k.own from reach r join known k on k.node = r.other) group by node)
+select page_id, url, host, path, rule, coalesce(n.own, alias.own, 'allow') verdict from n left join alias on alias.node = n.node
+""")
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, URL_RULES, urls.declared_links(pages))
+
+
 @query("op5_quality", rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') text, {WORDS} words from documents),
 w as (select rid, unnest(words) word, generate_subscripts(words, 1) i from d),
