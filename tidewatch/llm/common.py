@@ -28,13 +28,15 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-#: Rows of a table that may be sent to every task.
-BROADCAST_ROWS = 20_000
+#: Rows, and characters in them, of a table that may be sent to every task.
+BROADCAST_ROWS, BROADCAST_CHARS = 20_000, 4_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A materialised table of narrow rows, marked for broadcasting if it has at most BROADCAST_ROWS; else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A materialised table, marked for broadcasting if it is within BROADCAST_ROWS and BROADCAST_CHARS; else as it is."""
+    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_CHARS else df
 
 
 def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
