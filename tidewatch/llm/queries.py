@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, mixing, quality, simhash, urls
+from . import bpe, html_text, language, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -32,6 +32,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def fold(parts: int) -> Column:
+    """The part of a row, by a checksum of its doc_id as text; an absent doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    scored = docs.select("doc_id", (fold(5) == 0).alias("held_out"), toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -133,11 +148,6 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-def fold(parts: int):
-    """The part of a row, by a checksum of its doc_id as text; an absent doc_id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts
-
-
 def known_languages(docs: DataFrame) -> DataFrame:
     """The rows a language model may learn from."""
     return docs.where(fold(4) != 2)
