@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, mixing, quality, simhash, toxicity, urls
+from . import ann, bpe, html_text, language, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -162,6 +162,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages", "found.shares")
 
 
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded text of every document."""

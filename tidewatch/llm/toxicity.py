@@ -26,7 +26,7 @@ from tidewatch.session import durable
 SAMPLE_ROWS, TERMS, CANDIDATES = 12_000, 2_000, 50_000
 #: A term is learned from at least so many toxic texts, this log-odds ratio and this likelihood ratio (G squared).
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 5, 2.5, 24.0
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7)
 SEED_WEIGHT = 3.0
 
 INSULTS = (
