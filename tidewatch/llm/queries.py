@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, language, mixing, quality, simhash, toxicity, urls
+from . import ann, bpe, html_text, language, lm, mixing, quality, simhash, toxicity, urls
 
 QUERIES = {}
 ORACLES = {}
@@ -162,6 +162,15 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages", "found.shares")
 
 
+@query("op8_lm")
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo log-likelihood of every document, and its mean per word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs)
+    scored = docs.select("doc_id", lm.score(F.col("text"), model).alias("s")).select("doc_id", "s.n_tokens", "s.score")
+    return scored.withColumn("mean_score", F.expr("case when n_tokens > 0 then score / n_tokens end"))
+
+
 @query("op9_neighbours")
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one."""
