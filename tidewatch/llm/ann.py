@@ -165,10 +165,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
     in blocks of about QUERY_BLOCK, each a task of its own.
     """
     blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    shards = index.groupBy("dim", "shard").count().select("dim", "shard")
+    shards = index.groupBy("dim", "shard").count().select(F.col("dim").alias("d"), F.col("shard").alias("s"))
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    asked = asked.join(shards, "dim")
+    asked = asked.join(shards, F.col("dim") == F.col("d")).select("vec_id", "embedding", "dim", F.col("s").alias("shard"), "block")
 
     def run(key: tuple, graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "class_id": [], "score": []})
