@@ -176,7 +176,8 @@ def _term_counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 counts.update(_terms(text) if wanted is None else _terms(text) & wanted)
-        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}).astype({"n": "int64"})
+        if counts:
+            yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
 
     return rows.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
