@@ -8,22 +8,21 @@ left and right of it can be encoded on its own and the ids concatenated.
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 BLANK = b"\t\n\v\f\r "
-#: Characters that a task splits into fragments at a time.
-CHARS = 1_000_000
-#: Encoded fragments that a task remembers; only speed depends on it.
-REMEMBERED = 300_000
+#: Bytes that a fragment has at least, unless the text ends; and rows that a task hands on at a time.
+FRAGMENT, ROWS = 2048, 500
+#: How byte-level vocabularies split text before merging (a fixed value).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,77 +32,71 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Encoder(dict):
-    """A vocabulary file, and the ids (int32, as bytes) of the fragments met so far."""
+class Vocabulary:
+    """The tokens of a vocabulary file, as bytes by id."""
 
     def __init__(self, path: str):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.model.encode_special_tokens = True  # special tokens are taken out before
-        letters = byte_letters()
-        tokens = {bytes(map(letters.__getitem__, token)): i for token, i in spec["model"]["vocab"].items()}
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of = {i: token for token, i in tokens.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.fragments = self._certain_cuts({pair for token in tokens for pair in zip(token, token[1:])})
-
-    @staticmethod
-    def _certain_cuts(inside: set[tuple[int, int]]) -> re.Pattern:
-        """A pattern of the fragments between certain cuts before white space.
-
-        There the splitting pattern of the vocabulary starts a new piece anyway,
-        or the two bytes stand in one run of white space, which the pair alone
-        keeps apart; either way each side comes out as it does in the whole text.
-        A byte that some token holds before white space (`loose`) is no cut.
-        """
-        loose = bytes(a for a in range(256) if a not in BLANK and any((a, b) in inside for b in BLANK))
-        more = rb"(?:(?<=[" + re.escape(loose) + rb"])[\t-\r ]+[^\t-\r ]+)*" if loose else b""
-        return re.compile(rb"[\t-\r ]*[^\t-\r ]+" + more + rb"|[\t-\r ]+")
-
-    def _learn(self, fragments: set[bytes]) -> None:
-        new = [x for x in fragments if x not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(fragments)
-        for start in range(0, len(new), 10_000):
-            part = new[start:start + 10_000]
-            for x, got in zip(part, self.model.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self[x] = np.array(got.ids, "<i4").tobytes()
-
-    def _joined(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = [self.specials.split(t) if self.specials else [t] for t in texts]
-        pieces = [[self.fragments.findall(part.encode()) if i % 2 == 0 else [part] for i, part in enumerate(parts)] for parts in split]
-        self._learn({x for parts in pieces for i, part in enumerate(parts) if i % 2 == 0 for x in part})
-        for parts in pieces:
-            out = [x for i, part in enumerate(parts) for x in (
-                map(self.__getitem__, part) if i % 2 == 0 else [np.array([self.special[part[0]]], "<i4").tobytes()])]
-            yield np.frombuffer(b"".join(out), "<i4")
-
-    def encode(self, texts) -> Iterator[np.ndarray]:
-        """The ids of each text, about CHARS characters at a time."""
-        part, size = [], 0
-        for text in texts:
-            part.append(text or "")
-            size += len(part[-1])
-            if size >= CHARS:
-                yield from self._joined(part)
-                part, size = [], 0
-        yield from self._joined(part)
+            self.spec = json.load(f)
+        self.letters = byte_letters()
+        self.ids = {self.raw(token): i for token, i in self.spec["model"]["vocab"].items()}
+        self.special = {x["content"]: x["id"] for x in self.spec["added_tokens"]}
+        self.bytes_of = {i: token for token, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
+
+    def raw(self, token: str) -> bytes:
+        return bytes(map(self.letters.__getitem__, token))
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Encoder(Vocabulary):
+    """Merges each fragment between certain cuts on its own."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        inside = {pair for token in self.ids for pair in zip(token, token[1:])}
+        #: Where white space follows a byte that no token holds before it.  There the splitting pattern starts a new
+        #: piece anyway, or both bytes stand in one run of white space, which the pair alone keeps apart: either way
+        #: each side comes out as it does in the whole text.
+        tight = bytes(a for a in range(256) if not any((a, b) in inside for b in BLANK))
+        self.cut = re.compile(rb"(?<=[" + re.escape(tight) + rb"])(?=[\t-\r ])")
+        order = [bytes([b]) for b in range(256)]
+        for merge in self.spec["model"]["merges"]:
+            order.append(b"".join(map(self.raw, merge if isinstance(merge, list) else merge.split(" "))))
+        self.by_rank = np.array([self.ids[token] for token in order], "<i4")
+        self.model = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        del self.spec
+
+    def fragments(self, text: str) -> Iterator[str]:
+        """The text, cut at the first certain cut after every FRAGMENT bytes."""
+        data, start = text.encode(), 0
+        while m := self.cut.search(data, start + max(1, FRAGMENT)):
+            yield data[start:m.start()].decode()
+            start = m.start()
+        yield data[start:].decode()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        out: list[np.ndarray] = []
+        for i, part in enumerate(self.specials.split(text or "") if self.specials else [text or ""]):
+            if i % 2:
+                out.append(np.array([self.special[part]], "<i4"))
+            else:
+                out += [self.by_rank[self.model.encode_ordinary(x)] for x in self.fragments(part) if x]
+        return np.concatenate(out) if out else np.zeros(0, "<i4")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of a text under a byte-level vocabulary file that every executor can open.
 
@@ -115,7 +108,8 @@ def encode(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
         for texts in batches:
-            yield pd.Series(list(own.encode(texts)), dtype=object)
+            for at in range(0, len(texts), ROWS):
+                yield pd.Series([own.encode(t) for t in texts[at:at + ROWS]], dtype=object)
 
     return run(text)
 
@@ -125,8 +119,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(path)
+        own = vocabulary(path)
         for lists in batches:
-            yield pd.Series(["" if x is None else own.decode(x.tolist()) for x in lists], dtype=object)
+            for at in range(0, len(lists), ROWS):
+                yield pd.Series(["" if x is None else own.decode(x.tolist()) for x in lists[at:at + ROWS]], dtype=object)
 
     return run(ids)
