@@ -80,7 +80,8 @@ def test_bands_cannot_miss_a_pair(spark):
 @pytest.mark.parametrize("seed,bucket,plain", [(1, 200, 2), (2, 3, 0), (3, 3, 2), (4, 1, 1)])
 def test_greedy_equals_sequential(spark, monkeypatch, seed, bucket, plain):
     monkeypatch.setattr(dedup, "PAIR_BUCKET", bucket)
-    monkeypatch.setattr(dedup, "PLAIN_ROUNDS", plain)
+    monkeypatch.setattr(dedup, "LEADER_ROUNDS", plain)
+    monkeypatch.setattr(dedup, "BLOCK", 7)
     rows = corpus(seed, 150)
     expected = greedy([(i, py_signature(b)) for i, b in rows])
     verdicts = dedup.greedy_verdicts(signed(spark, rows), []).collect()
@@ -128,6 +129,45 @@ def test_near_duplicates_equals_brute_force(spark, monkeypatch, bucket):
     assert {r["id"] for r in got.collect()} == expected and 0 < len(expected) < len(new)
 
 
+@pytest.mark.parametrize("n", [60, 240])
+def test_templated_texts_need_no_more_rounds(spark, monkeypatch, n):
+    """Texts alike enough to share buckets but not to be duplicates: the rounds don't grow with their number."""
+    monkeypatch.setattr(dedup, "PAIR_BUCKET", 10)
+    rng = random.Random(3)
+    frame = [f"form{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        body = list(frame)
+        for j in rng.sample(range(60), 4):
+            body[j] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(body)))
+    written = []
+    real = dedup.durable
+    monkeypatch.setattr(dedup, "durable", lambda df: written.append(1) or real(df))
+    kept = {r["id"] for r in dedup.greedy_verdicts(signed(spark, rows), []).filter("kept").collect()}
+    assert kept == greedy([(i, py_signature(b)) for i, b in rows])
+    assert len(written) <= 40
+
+
+def test_long_chain_is_settled_in_bounded_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 3), (500, 4), (700, 699)], "later long, earlier long")
+    written = []
+    real = dedup.durable
+    monkeypatch.setattr(dedup, "durable", lambda df: written.append(1) or real(df))
+    got = {r["rank"]: r["copy_of"] for r in dedup._settle(edges).collect()}
+    assert got == {i: i - 1 for i in range(1, 201, 2)} | {500: 4, 700: 699}
+    assert len(written) <= 2 * dedup.SETTLE_ROUNDS + 2
+
+
+def test_semi_join_of_crowded_buckets_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SALT_PAIRS", 20)
+    rows = corpus(12, 120, bases=1)
+    old, new = rows[:40], rows[40:]
+    sigs = {i: py_signature(b) for i, b in rows}
+    expected = {i for i, _ in new if any(similarity(sigs[i], sigs[j]) >= 0.85 for j, _ in old)}
+    assert {r["id"] for r in dedup.near_duplicates(signed(spark, new), signed(spark, old)).collect()} == expected
+
+
 def test_known_urls_and_first_seen(spark):
     batch = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, ""), (5, None), (6, "c")], "id long, url string")
     stored = spark.createDataFrame([("b",), ("b",)], "url string")

@@ -94,7 +94,8 @@ def test_stocktwits(spark):
 
     raw = records(spark, [msg("1", "Bullish"), msg("2", "Bearish"), msg("3", None), msg("4", "Odd"), msg(None, "Bullish"),
                           msg("6", None, body="  "), msg("7", None, pos=30)], schema.STOCKTWITS)
-    got = rows(normalize.normalize_stocktwits(raw, NOW))
+    assert len(rows(normalize.normalize_stocktwits(raw, NOW))) == 5
+    got = rows(normalize.normalize_stocktwits(raw, NOW, 30))
     assert [r["sentiment"] for r in got] == [1.0, -1.0, 0.0, 0.0]
 
 

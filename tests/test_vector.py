@@ -61,6 +61,21 @@ def test_bucketed_recall(data):
     assert every == exact
 
 
+def test_bucketed_search_does_not_depend_on_the_batch_size(data, monkeypatch):
+    x, q, urls, corpus, queries = data
+    small = found(vector.knn_bucketed(queries, corpus, 5, lists=16, probes=1))
+    monkeypatch.setattr(vector, "MAX_BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(vector, "CORPUS_BLOCK", 90)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 8)
+    assert found(vector.knn_bucketed(queries, corpus, 5, lists=16, probes=1)) == small != brute(x, q, urls, 5)
+
+
+def test_queries_without_a_vector(spark, data):
+    x, q, urls, corpus, queries = data
+    more = queries.unionByName(spark.createDataFrame([(900, None), (901, [])], "query_id long, embedding array<double>"))
+    assert found(vector.knn(more, corpus, 7)) == brute(x, q, urls, 7)
+
+
 def test_no_queries_and_null_embeddings(spark, data):
     _, _, _, corpus, queries = data
     assert vector.knn(queries.filter("false"), corpus, 3).count() == 0

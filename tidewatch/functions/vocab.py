@@ -28,18 +28,16 @@ SHINGLE_WORDS = 3
 NEAR_DUP_THRESHOLD = 0.85
 NEAR_DUP_HOURS = 24
 
-# Per-feed and per-run caps of the sources.
+# Items that a capped feed keeps, and days that the store keeps.
 RSS_ITEMS_PER_FEED = 15
-MESSAGES_PER_SYMBOL = 30
-SYMBOLS_PER_RUN = 50
-GKG_ARTICLES_PER_RUN = 200
-GKG_OVERFETCH = 3
 RETENTION_DAYS = 7
 
-# Text cuts applied before a model sees the text, in characters.
-SCORER_CHARS = 3000
-RECOGNISER_CHARS = 1500
-EMBEDDING_DIM = 384
+# Entity labels that name an organisation or a ticker.
+ENTITY_LABELS = ("ORG", "TICKER", "B-ORG", "I-ORG")
+
+# Where a model's answer holds its JSON, in the order of trial.
+FENCED_ANSWER = r"(?s)```(?:json)?\s*(.*?)\s*```"
+BRACED_ANSWER = r"(?s)(\{.*\})"
 
 # Authority weight per source; anything else weighs 1.0.
 SOURCE_WEIGHTS = {

@@ -9,17 +9,24 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import minhash as mh
 from ..functions import times, vocab
 from ..session import durable
+from .components import components
 
-# Buckets up to this size may list their pairs; larger ones go through leaders.
+# Buckets up to this size may list their pairs; larger ones go through leaders, then through blocks.
 PAIR_BUCKET = 200
-# Leader rounds tried on plain bands before crowded buckets are split further.
-PLAIN_ROUNDS = 2
+# Leader rounds: each dissolves groups of copies, whatever their size.
+LEADER_ROUNDS = 2
+# Items of a crowded bucket on either side of one comparing task, and comparisons of one salt of a semi join.
+BLOCK, SALT_PAIRS = 2000, 1_000_000
+# Rounds of settling the pair graph before what is left of each component is walked in order.
+SETTLE_ROUNDS = 8
 
 
 def first_per_key(df: DataFrame, key: Column | str, order: list[Column | str], latest: bool = False) -> DataFrame:
@@ -39,8 +46,9 @@ def drop_known_urls(batch: DataFrame, stored: DataFrame | None, order: list[Colu
     fresh = batch.filter(F.col("url").isNotNull() & (F.col("url") != ""))
     fresh = first_per_key(fresh, "url", order or ["timestamp", "id"])
     if stored is not None:
-        # one row per stored URL keeps a much-repeated URL from crowding the join
-        fresh = fresh.join(stored.select("url").filter("url is not null").distinct(), "url", "left_anti")
+        # only stored rows with a URL of the batch are moved beyond their partition; a semi join needs no distinct URLs
+        met = stored.select("url").join(fresh.select("url"), "url", "left_semi")
+        fresh = fresh.join(met.groupBy("url").agg(F.count("*").alias("_n")).select("url"), "url", "left_anti")
     return fresh.select(*batch.columns)
 
 
@@ -69,12 +77,6 @@ def _split_keys() -> Column:
     return F.when(F.col("hot"), paired).otherwise(F.array(key))
 
 
-def _split_crowded(banded: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Re-key the rows of crowded buckets on two bands."""
-    marked = banded.join(crowded.select("key", F.lit(True).alias("hot")), "key", "left")
-    return marked.select("rank", F.explode(_split_keys()).alias("key")).distinct()
-
-
 def near_duplicates(batch: DataFrame, stored: DataFrame, threshold: float = vocab.NEAR_DUP_THRESHOLD,
                     id_col: str = "id", signature_col: str = "minhash_signature",
                     num_perm: int = vocab.NUM_PERM) -> DataFrame:
@@ -92,15 +94,18 @@ def near_duplicates(batch: DataFrame, stored: DataFrame, threshold: float = voca
     shared = (
         left.groupBy("key").agg(F.count("*").alias("n"))
         .join(right.groupBy("key").agg(F.count("*").alias("m")), "key")
-        .select("key", (F.greatest("n", "m") > PAIR_BUCKET).alias("hot"))
+        .select("key", (F.greatest("n", "m") > PAIR_BUCKET).alias("hot"), F.ceil(F.col("n") * F.col("m") / SALT_PAIRS).alias("salts"))
     )
 
-    def keyed(side: DataFrame) -> DataFrame:
-        return side.join(shared, "key").select("sig", F.explode(_split_keys()).alias("key"))
+    def keyed(side: DataFrame, salt: Column) -> DataFrame:
+        marked = side.join(shared, "key").select("sig", "salts", F.explode(_split_keys()).alias("key"))
+        return marked.select("sig", "key", salt.alias("salt"))
 
-    a, b = keyed(left).alias("a"), keyed(right).alias("b")
+    # a bucket crowded on both sides is dealt over tasks: each row of one side once, of the other to every salt
+    a = keyed(left, F.pmod(F.xxhash64("sig"), F.col("salts"))).alias("a")
+    b = keyed(right, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).alias("b")
     hit = a.join(
-        b, (F.col("a.key") == F.col("b.key")) & (mh.matches(F.col("a.sig"), F.col("b.sig")) >= need), "left_semi"
+        b, (F.col("a.key") == F.col("b.key")) & (F.col("a.salt") == F.col("b.salt")) & (mh.matches(F.col("a.sig"), F.col("b.sig")) >= need), "left_semi"
     )
     return mine.join(hit.select("sig").distinct(), "sig", "left_semi").select(F.col("item").alias(id_col))
 
@@ -116,15 +121,80 @@ def _verified(pairs: DataFrame, sigs: DataFrame, need: int) -> DataFrame:
     )
 
 
+def _crowded_pairs(rows: DataFrame, sizes: DataFrame, sigs: DataFrame, need: int) -> DataFrame:
+    """Pairs (later, earlier) within crowded buckets whose signatures reach the threshold.
+
+    The members of a bucket are dealt to blocks, and every two blocks meet in a
+    task of their own that compares signatures as matrices and returns only the
+    pairs that qualify.
+    """
+    numbered = durable(sigs.join(rows.join(sizes, "key", "left_semi").select("rank").distinct(), "rank", "left_semi").withColumn(
+        "no", F.monotonically_increasing_id()))
+    blocks = sizes.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    member = rows.join(blocks, "key").join(numbered, "rank").withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")))
+    other = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    met = member.select("key", "no", "sig", "own", F.explode(other).alias("other")).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "sig")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        numbers, sides = pdf["no"].to_numpy(), pdf["own"].to_numpy()
+        matrix = np.stack(pdf["sig"].to_list())
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        second = np.flatnonzero(sides == j)
+        x, y = [], []
+        for at in np.flatnonzero(sides == i):
+            near = second[(matrix[second] == matrix[at]).sum(axis=1) >= need]
+            near = near[near > at] if i == j else near
+            x.append(np.full(len(near), numbers[at]))
+            y.append(numbers[near])
+        return pd.DataFrame({"x": np.concatenate([*x, numbers[:0]]), "y": np.concatenate([*y, numbers[:0]])})
+
+    found = met.groupBy("key", "i", "j").applyInPandas(compare, "x bigint, y bigint").distinct()
+    one = numbered.select(F.col("no").alias("x"), F.col("rank").alias("rank_x"))
+    two = numbered.select(F.col("no").alias("y"), F.col("rank").alias("rank_y"))
+    return found.join(one, "x").join(two, "y").select(
+        F.greatest("rank_x", "rank_y").alias("later"), F.least("rank_x", "rank_y").alias("earlier"))
+
+
+def _walked(edges: DataFrame) -> DataFrame:
+    """The rule on the edges of each connected component, in arrival order: dropped items and the first kept item they copy."""
+    numbered = edges.select(F.xxhash64("later").alias("a"), F.xxhash64("earlier").alias("b"), "later", "earlier")
+    roots = components(numbered.select("a", "b"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        # numbers in arrival order stand for the items
+        before: dict[int, list[int]] = {}
+        for later, earlier in zip(pdf["l"], pdf["e"]):
+            before.setdefault(later, []).append(earlier)
+        copies: dict[int, int] = {}
+        for item in sorted(before):
+            kept = [e for e in before[item] if e not in copies]
+            if kept:
+                copies[item] = min(kept)
+        return pd.DataFrame({"l": list(copies), "e": list(copies.values())}, dtype="int64")
+
+    placed = durable(numbered.join(roots, numbered["a"] == roots["node"]).select("root", "later", "earlier"))
+    items = placed.select("root", F.col("later").alias("item")).union(placed.select("root", "earlier")).distinct()
+    order = durable(items.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("item")).cast("bigint")))
+    later = order.select("root", F.col("item").alias("later"), F.col("n").alias("l"))
+    earlier = order.select("root", F.col("item").alias("earlier"), F.col("n").alias("e"))
+    walks = placed.join(later, ["root", "later"]).join(earlier, ["root", "earlier"]).select("root", "l", "e")
+    found = walks.groupBy("root").applyInPandas(
+        lambda pdf: walk(pdf).assign(root=pdf["root"].iloc[0])[["root", "l", "e"]], "root bigint, l bigint, e bigint")
+    return found.join(later, ["root", "l"]).join(earlier, ["root", "e"]).select(F.col("later").alias("rank"), F.col("earlier").alias("copy_of"))
+
+
 def _settle(edges: DataFrame) -> DataFrame:
     """Resolve the keep-unless-earlier-kept rule on an explicit pair graph.
 
     Each round, items without an open earlier neighbour are kept and their
     later neighbours dropped; edges of dropped items disappear, which may free
-    others.  Returns the dropped items with a kept item they copy.
+    others.  Long chains are left after SETTLE_ROUNDS; what remains of each
+    component is walked in order.  Returns the dropped items with a kept item
+    they copy.
     """
     dropped = None
-    while True:
+    for _ in range(SETTLE_ROUNDS):
         blocked = edges.select(F.col("later").alias("earlier")).distinct()
         losers = durable(
             edges.join(blocked, "earlier", "left_anti")
@@ -139,6 +209,7 @@ def _settle(edges: DataFrame) -> DataFrame:
         )
         if edges.isEmpty():
             return dropped
+    return dropped.unionByName(_walked(edges))
 
 
 def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab.NEAR_DUP_THRESHOLD,
@@ -152,8 +223,10 @@ def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab
     2. while some bucket is crowded, compare members with the bucket's first
        open item only; an item that leads all its buckets is kept.  This is
        linear per round and dissolves groups of copies of any size;
-    3. buckets that stay crowded are split by a second band, which loses no pair;
-    4. once all buckets are small, list their pairs and settle the graph.
+    3. after a fixed number of such rounds, small buckets list their pairs, and
+       crowded ones are compared block by block, which loses no pair;
+    4. the graph of qualifying pairs is settled in a fixed number of rounds and
+       one walk over what is left of each component.
     """
     need = mh.needed_matches(threshold, num_perm)
     arrivals = items.select(
@@ -168,17 +241,10 @@ def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     banded = durable(banded.join(shared.select("key"), "key", "left_semi"))
     open_rows, dropped = banded, None
-    rounds, split_done = 0, False
-
-    while True:
+    for _ in range(LEADER_ROUNDS):
         buckets = open_rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rank").alias("lead")).filter("n > 1")
-        largest = buckets.agg(F.max("n")).first()[0] or 0
-        if largest <= PAIR_BUCKET:
+        if (buckets.agg(F.max("n")).first()[0] or 0) <= PAIR_BUCKET:
             break
-        if rounds >= PLAIN_ROUNDS and not split_done:
-            open_rows = durable(_split_crowded(open_rows, buckets.filter(F.col("n") > PAIR_BUCKET)))
-            split_done = True
-            continue
         following = (
             open_rows.select("key", "rank").join(buckets, "key").filter(F.col("rank") != F.col("lead"))
             .select(F.col("rank").alias("later"), F.col("lead").alias("earlier")).distinct()
@@ -196,13 +262,18 @@ def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab
         open_rows = durable(
             open_rows.join(leaders, "rank", "left_anti").join(losers.select("rank"), "rank", "left_anti")
         )
-        rounds += 1
 
-    # all open buckets are small now: their pairs are bounded by PAIR_BUCKET per row
-    a = open_rows.select("key", F.col("rank").alias("later"))
-    b = open_rows.select("key", F.col("rank").alias("earlier"))
+    # pairs of small buckets are bounded by PAIR_BUCKET per row; crowded ones give only pairs that qualify
+    sizes = durable(open_rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    lone = open_rows.select("key", "rank").join(sizes.filter(F.col("n") <= PAIR_BUCKET).select("key"), "key", "left_semi")
+    a = lone.select("key", F.col("rank").alias("later"))
+    b = lone.select("key", F.col("rank").alias("earlier"))
     pairs = a.join(b, "key").filter(F.col("later") > F.col("earlier")).select("later", "earlier")
-    edges = durable(_verified(pairs, sigs, need))
+    edges = _verified(pairs, sigs, need)
+    crowded = sizes.filter(F.col("n") > PAIR_BUCKET)
+    if not crowded.isEmpty():
+        edges = edges.unionByName(_crowded_pairs(open_rows.select("key", "rank"), crowded, sigs, need)).distinct()
+    edges = durable(edges)
     settled = _settle(edges)
     dropped = settled if dropped is None else dropped.unionByName(settled)
 

@@ -83,7 +83,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = vocab.SEARCH_SIZE, list_
 
     queries: query_id, embedding (and with `list_col` an array `probes` of the
     lists to search).  corpus: id, embedding, optional url.  Exact unless
-    `list_col` restricts the search.
+    `list_col` restricts the search.  Queries without a vector find nothing.
     """
     key = F.coalesce(F.col("url"), F.lit("")) if "url" in corpus.columns else F.col("id").cast("string")
     lists = [F.col(list_col).alias("list")] if list_col else []
@@ -92,39 +92,55 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = vocab.SEARCH_SIZE, list_
     qkind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {qkind}, id {kind}, key string, distance double"
 
+    asked = queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    asked = asked.select("query_id", "embedding", *([F.col(probe_col).alias("probes")] if list_col else []))
     # at most one row more than may be broadcast ever reaches the driver
-    batch = queries.limit(MAX_BROADCAST_QUERIES + 1).toPandas()
+    batch = asked.limit(MAX_BROADCAST_QUERIES + 1).toPandas()
     if len(batch) > MAX_BROADCAST_QUERIES or sum(len(e) for e in batch["embedding"]) > MAX_BROADCAST_NUMBERS:
-        return _knn_blocks(queries, body.drop("list"), k, schema)
+        return _knn_blocks(asked, body, k, schema)
     if batch.empty:
         return queries.sparkSession.createDataFrame([], f"query_id {qkind}, id {kind}, distance double, rank int")
-    qids, q = batch["query_id"].to_numpy(), _unit(batch["embedding"])
-    probes = [set(p) for p in batch[probe_col]] if list_col else None
+    searched = _Batch(batch)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[pd.DataFrame] = []
         for pdf in batches:
-            if pdf.empty:
-                continue
-            if probes is None:
-                best = [_best(best + [_nearest(qids, q, pdf, k)], k)]
-                continue
-            for list_id, members in pdf.groupby("list"):
-                asking = np.array([list_id in p for p in probes])
-                if asking.any():
-                    best = [_best(best + [_nearest(qids[asking], q[asking], members, k)], k)]
+            for found in searched.nearest(pdf, k):
+                best = [_best(best + [found], k)]
         yield from best
 
     return _merge(body.mapInPandas(search, schema), k)
 
 
+class _Batch:
+    """Queries (query_id, embedding, optional probes) held by a task."""
+
+    def __init__(self, batch: pd.DataFrame):
+        self.ids, self.vectors = batch["query_id"].to_numpy(), _unit(batch["embedding"])
+        self.probes = [set(p) for p in batch["probes"]] if "probes" in batch else None
+
+    def nearest(self, pdf: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+        """The k nearest of some corpus rows; with probes, of the rows of each query's lists."""
+        if pdf.empty or not len(self.ids):
+            return
+        if self.probes is None:
+            yield _nearest(self.ids, self.vectors, pdf, k)
+            return
+        for list_id, members in pdf.groupby("list"):
+            asking = np.array([list_id in p for p in self.probes])
+            if asking.any():
+                yield _nearest(self.ids[asking], self.vectors[asking], members, k)
+
+
 def _knn_blocks(queries: DataFrame, body: DataFrame, k: int, schema: str) -> DataFrame:
-    """Exact search for a large query batch: every query block meets every corpus block.
+    """The same search for a large query batch: every query block meets every corpus block.
 
-    A task holds one block of each side, so its size does not grow with either table.
+    A task holds one block of each side, so its size does not grow with either
+    table; the result is that of a small batch, lists and probes included.
     """
     n_q = math.ceil(queries.count() / QUERY_BLOCK)
     n_c = math.ceil(body.count() / CORPUS_BLOCK)
+
     def blocks(n: int) -> Column:
         return F.sequence(F.lit(0).cast("bigint"), F.lit(max(n, 1) - 1).cast("bigint"))
 
@@ -132,14 +148,14 @@ def _knn_blocks(queries: DataFrame, body: DataFrame, k: int, schema: str) -> Dat
         return F.pmod(F.xxhash64(c), F.lit(max(n, 1)).cast("bigint"))
 
     # fresh names on the query side: both sides may stem from one table
-    asked = queries.select(F.col("query_id").alias("qid"), F.col("embedding").alias("qvec")).select(
-        "qid", "qvec", own("qid", n_q).alias("qb"), F.explode(blocks(n_c)).alias("cb"))
+    names = {c: f"q_{c}" for c in queries.columns}
+    asked = queries.select(*(F.col(c).alias(n) for c, n in names.items())).select(
+        *names.values(), own("q_query_id", n_q).alias("qb"), F.explode(blocks(n_c)).alias("cb"))
     held = body.select("*", own("id", n_c).alias("cb"), F.explode(blocks(n_q)).alias("qb"))
 
     def cell(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "key": [], "distance": []})
-        return _nearest(q["qid"].to_numpy(), _unit(q["qvec"]), c, k)
+        parts = list(_Batch(q.rename(columns={n: o for o, n in names.items()})).nearest(c, k)) if len(q) and len(c) else []
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"query_id": [], "id": [], "key": [], "distance": []})
 
     met = asked.groupBy("qb", "cb").cogroup(held.groupBy("qb", "cb")).applyInPandas(cell, schema)
     return _merge(met, k)

@@ -3,20 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
-from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-try:  # optional: multi-word scan; without it words are tested one by one
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 from ..functions import scores, text, vocab
 from ..operators import facts as fx
 from ..operators import topk
@@ -24,11 +15,6 @@ from ..operators.dedup import first_per_key
 from ..operators.vector import knn
 from ..session import durable
 
-# Words looked up in one scan of the articles.
-WORDS_PER_PASS = 100_000
-# Up to this many words a plain containment test is cheaper than an automaton.
-PLAIN_WORDS = 32
-
 
 class SearchResult(NamedTuple):
     """Flat results; every frame has query_id, and rank where order matters."""
@@ -85,12 +71,10 @@ def classify_queries(queries: DataFrame, mode: str = "substring") -> DataFrame:
 
 
 def keyword_condition(query: str) -> Column | None:
-    """Any word of three or more characters occurs in title or content."""
-    words = [w for w in query.lower().split() if len(w) > 2]
+    """Any word of three or more characters occurs in title or content, taken literally."""
     found = None
-    for w in words:
-        hit = F.coalesce(F.col("title").ilike(f"%{w}%"), F.lit(False)) | F.coalesce(
-            F.col("content").ilike(f"%{w}%"), F.lit(False))
+    for w in (w for w in query.lower().split() if len(w) > 2):
+        hit = F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(w)) | F.contains(F.lower(F.coalesce("content", F.lit(""))), F.lit(w))
         found = hit if found is None else found | hit
     return found
 
@@ -101,45 +85,47 @@ def keyword_search(articles: DataFrame, query: str, k: int = vocab.SEARCH_SIZE)
     return topk.latest_per_url(articles.filter(F.lit(False) if condition is None else condition), k)
 
 
-def _word_hits(base: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Rows of `base` once per vocabulary word that occurs in `_body`."""
-    out = [c for c in base.columns if c != "_body"]
-    if ahocorasick is None or len(vocabulary) <= PLAIN_WORDS:
-        hits = F.filter(F.array(*[F.lit(w) for w in vocabulary]), lambda w: F.contains(F.col("_body"), w))
-        return base.select(*out, F.explode(hits).alias("word"))
+def _holding(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word) for each distinct token that holds a word, which has three or more characters.
+
+    A word meets tokens through its first three characters, an equality join in
+    place of a containment join; only distinct tokens take part.
+    """
+    spots = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring("token", i, F.lit(3)))
+    pieces = tokens.filter(F.length("token") > 2).distinct().select("token", F.explode(F.array_distinct(spots)).alias("piece"))
+    wanted = words.select("word", F.substring("word", 1, 3).alias("piece"))
+    return pieces.join(wanted, "piece").filter(F.contains("token", F.col("word"))).select("token", "word")
+
 
-    @F.pandas_udf("array<string>")
-    def occurring(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        # one scan of a text finds all words, however many there are
-        automaton = ahocorasick.Automaton()
-        for w in vocabulary:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
-        for bodies in batches:
-            yield bodies.map(lambda text_: sorted({w for _, w in automaton.iter(text_)}))
+def _useful(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The rows of each key that can be among a query's k newest, one per key and URL in `rows`.
 
-    return base.select(*out, F.explode(occurring("_body")).alias("word"))
+    The row that represents a URL is its highest id among the keys asked for.
+    Where a key holds that very row, its place in time is the same for every
+    query, so the key's k newest such rows are enough; the other rows are kept.
+    """
+    # a URL has at most one row per key here, so this window is bounded by the number of keys
+    top = rows.withColumn("_own", F.col("id") == F.max("id").over(Window.partitionBy("url")))
+    newest = Window.partitionBy(key, "_own").orderBy(F.desc("timestamp"), F.desc("id"))
+    return top.withColumn("_n", F.row_number().over(newest)).filter((F.col("_n") <= k) | ~F.col("_own")).drop("_own", "_n")
 
 
 def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab.SEARCH_SIZE) -> DataFrame:
     """`keyword_search` for a table (query_id, raw_query).
 
-    All distinct words are looked up in one scan of the articles (several scans
-    beyond WORDS_PER_PASS words).  Matches are reduced to one row per word and
-    URL before they meet the queries by word.
+    Neither words nor articles pass the driver.  A word has no white space, so it
+    occurs in a text where one of the text's tokens holds it: tokens are reduced
+    to one row per URL, joined to the words they hold, and each word is cut to
+    the rows that can matter before it meets the queries that ask for it.
     """
     words = queries.select("query_id", F.explode(F.split(F.lower("raw_query"), r"(?U)\s+")).alias("word")).filter(
         F.length("word") > 2).distinct()
-    distinct = words.select("word").distinct()
-    count = max(math.ceil(distinct.count() / WORDS_PER_PASS), 1)
-    share = F.pmod(F.xxhash64("word"), F.lit(count).cast("bigint"))
-    # a pass holds about WORDS_PER_PASS words; the driver sees one pass at a time
-    passes = [sorted(r["word"] for r in distinct.filter(share == i).collect()) for i in range(count)]
     body = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    base = articles.select("id", "source", "title", "url", "timestamp", body.alias("_body"))
-    matched = reduce(DataFrame.unionByName, [_word_hits(base, part) for part in passes])
-    latest = first_per_key(matched, F.struct("word", "url"), ["id", "timestamp"], latest=True)
-    news = topk.latest_per_url(latest.join(words, "word").drop("word"), k, ["query_id"])
+    base = articles.select("id", "source", "title", "url", "timestamp", F.explode(F.array_distinct(F.split(body, r"(?U)\s+"))).alias("token"))
+    held = durable(_holding(base.select("token"), words.select("word").distinct()))
+    hits = first_per_key(base.join(held.select("token").distinct(), "token", "left_semi"), F.struct("token", "url"), ["id", "timestamp"], latest=True)
+    latest = first_per_key(hits.join(held, "token").drop("token"), F.struct("word", "url"), ["id", "timestamp"], latest=True)
+    news = topk.latest_per_url(_useful(latest, "word", k).join(words, "word").drop("word"), k, ["query_id"])
     return news.select("query_id", "id", "source", "title", "url", "timestamp")
 
 
@@ -178,10 +164,7 @@ def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     """Latest unique articles per query for its (query_id, symbol) rows.
 
     Queries that ask for the same symbols share one computation, and each
-    symbol brings only the rows that can matter.  The row that represents a URL
-    is its highest id among the symbols asked for.  Where a symbol holds that
-    very row, its place in time is the same for every query, so the symbol's k
-    newest such rows are enough; only the rare other rows are all kept.
+    symbol brings only the rows that can matter.
     """
     sets = wanted.groupBy("query_id").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
     members = sets.select("symbols").distinct().select("symbols", F.explode("symbols").alias("symbol"))
@@ -189,11 +172,8 @@ def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
         F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "source", "title", "url", "timestamp", "sentiment"
     )
     latest = first_per_key(rows, F.struct("symbol", "url"), ["id", "timestamp", "sentiment"], latest=True)
-    # a URL has at most one row per symbol here, so this window is bounded by the dimension
-    top = latest.withColumn("_own", F.col("id") == F.max("id").over(Window.partitionBy("url")))
-    newest = Window.partitionBy("symbol", "_own").orderBy(F.desc("timestamp"), F.desc("id"))
-    useful = top.withColumn("_n", F.row_number().over(newest)).filter((F.col("_n") <= k) | ~F.col("_own"))
-    news = topk.latest_per_url(useful.drop("_own", "_n").join(members, "symbol").drop("symbol"), k, ["symbols"])
+    useful = _useful(latest, "symbol", k)
+    news = topk.latest_per_url(useful.join(members, "symbol").drop("symbol"), k, ["symbols"])
     return sets.join(news, "symbols").drop("symbols").withColumn("sentiment", scores.round4("sentiment"))
 
 
@@ -202,8 +182,8 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
     """Answer a table of queries (query_id, query, optional embedding).
 
     Sector and ticker questions return the best tickers of the sector or list;
-    anything else looks for the nearest articles (or matching keywords when
-    the articles carry no embeddings) and derives tickers from them.
+    anything else looks for the nearest articles, or for matching keywords where
+    the query or all articles have no vector, and derives tickers from them.
 
     What several results share (classified queries, ticker scores, matched
     articles, chosen tickers) is computed once and kept on shared storage.
@@ -225,16 +205,18 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
 
     # everything else: nearest or matching articles
     loose = intents.filter("intent in ('news_search', 'general_search')")
-    semantic = "embedding" in articles.columns and "embedding" in queries.columns
-    semantic = semantic and not articles.filter(F.col("embedding").isNotNull()).isEmpty()
-    if semantic:
-        vectors = queries.join(loose.select("query_id"), "query_id", "left_semi").select("query_id", "embedding")
-        near = knn(vectors, articles.select("id", "url", "embedding"), k).select("query_id", "id", "rank")
-        details = articles.select("id", "source", "title", "url", "timestamp")
-        found = near.join(details, "id")
-    else:
-        found = keyword_search_batch(loose.select("query_id", "raw_query"), articles, k)
-        found = _ranked(found, [F.desc("timestamp"), F.desc("id")], k)
+    by_words = loose.select("query_id", "raw_query")
+    cols_found = ["query_id", "id", "source", "title", "url", "timestamp", "rank"]
+    near = None
+    if "embedding" in articles.columns and "embedding" in queries.columns:
+        held = articles.filter(F.col("embedding").isNotNull())
+        if not held.isEmpty():
+            vectors = queries.filter(F.col("embedding").isNotNull()).join(loose.select("query_id"), "query_id", "left_semi").select("query_id", "embedding")
+            ranked = knn(vectors, held.select("id", "url", "embedding"), k).select("query_id", "id", "rank")
+            near = ranked.join(articles.select("id", "source", "title", "url", "timestamp"), "id").select(cols_found)
+            by_words = by_words.join(vectors.select("query_id"), "query_id", "left_anti")
+    found = _ranked(keyword_search_batch(by_words, articles, k), [F.desc("timestamp"), F.desc("id")], k).select(cols_found)
+    found = found if near is None else near.unionByName(found)
     found = durable(found)
     mentioned = mentions.join(found.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi")
     sentiment = fx.article_sentiment(mentioned).select(

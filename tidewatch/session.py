@@ -53,9 +53,5 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy work on a table of few input splits.
-
-    A table of many splits is left as it is; only a small one is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Let adaptive execution deal the rows of unevenly or rarely split input over all cores."""
+    return df.hint("rebalance")

@@ -21,10 +21,11 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.url_decode(stem).alias("feed"), F.col("value").alias("xml"))
 
 
-def rss_items(feeds: DataFrame, per_feed: int | None = vocab.RSS_ITEMS_PER_FEED) -> DataFrame:
+def rss_items(feeds: DataFrame, per_feed: int | None = None) -> DataFrame:
     """Items of feed documents in feed order; unreadable documents give none.
 
-    The cap counts items before those without a link are dropped.
+    `per_feed` keeps the first items of each feed; it counts those without a link,
+    which are dropped.
     """
     parsed = feeds.select("feed", F.from_xml("xml", RSS).alias("doc"))
     spread = parsed.select("feed", F.posexplode("doc.channel.item").alias("pos", "item"))
@@ -42,7 +43,7 @@ def rss_items(feeds: DataFrame, per_feed: int | None = vocab.RSS_ITEMS_PER_FEED)
 
 
 def normalize_yahoo_rss(feeds: DataFrame, ingested_at: dt.datetime,
-                        per_feed: int | None = vocab.RSS_ITEMS_PER_FEED) -> DataFrame:
+                        per_feed: int | None = None) -> DataFrame:
     """Per-ticker feeds: the feed name is the ticker."""
     return _items(
         rss_items(feeds, per_feed),
@@ -57,7 +58,7 @@ def normalize_yahoo_rss(feeds: DataFrame, ingested_at: dt.datetime,
 
 
 def normalize_google_rss(feeds: DataFrame, ingested_at: dt.datetime,
-                         per_feed: int | None = vocab.RSS_ITEMS_PER_FEED) -> DataFrame:
+                         per_feed: int | None = None) -> DataFrame:
     """Per-query feeds: adds the publisher and the outlet-free text to fingerprint."""
     return _items(
         rss_items(feeds, per_feed), F.col("publisher"), text.fingerprint_title("title").alias("fingerprint"),

@@ -177,9 +177,8 @@ def normalize_insider(raw: DataFrame, ingested_at: dt.datetime) -> DataFrame:
     )
 
 
-def normalize_stocktwits(raw: DataFrame, ingested_at: dt.datetime,
-                         per_symbol: int | None = vocab.MESSAGES_PER_SYMBOL) -> DataFrame:
-    """First messages of each symbol's stream (`pos` counts from 0), with the author's tag as sentiment."""
+def normalize_stocktwits(raw: DataFrame, ingested_at: dt.datetime, per_symbol: int | None = None) -> DataFrame:
+    """Messages of each symbol's stream, with the author's tag as sentiment; `per_symbol` keeps the first (`pos` counts from 0)."""
     page = raw if per_symbol is None else raw.filter(F.col("pos") < per_symbol)
     body = text.strip(F.coalesce("body", F.lit("")))
     usable = page.filter((F.coalesce("id", F.lit("")) != "") & (body != ""))

@@ -76,7 +76,7 @@ PARTS = {
         "stocktwits", "concat('stocktwits-',event_id)", "cast(null as varchar)", HEAD, TRY_TS,
         "concat('https://stocktwits.com/message/',event_id)", "sym",
         "case when event_id%2=0 and event_type='purchase' then 1e0 when event_id%2=0 and event_type='error' then -1e0 else 0e0 end",
-        "event_id%31<>0 and event_id%40<30"),
+        "event_id%31<>0"),
 }
 RSS_ITEMS = """select *, unnest(range(event_id%20)) i from ev where event_id%29<>0"""
 
@@ -85,7 +85,7 @@ def rss_sql(source: str, id_: str, tickers: str) -> str:
     title = f"concat({HEAD},' ',i,' - Wire')"
     return f"""select {id_} id, '{source}' source, {title} title, case when i%3=0 then {title} else event_type end as content,
       case when i%2=0 then date_trunc('second',ts) else {NOW} end as "timestamp", concat({URL},'/',i) url, {tickers} tickers,
-      cast(null as double) sentiment from ({RSS_ITEMS}) where source='{source}' and i<15 and i%5<>4"""
+      cast(null as double) sentiment from ({RSS_ITEMS}) where source='{source}' and i%5<>4"""
 
 
 PARTS["yahoo_rss"] = rss_sql("yahoo_rss", f"concat('yahoo-',sym,'-',{URL},'/',i)", "sym")
