@@ -54,7 +54,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
+        if len(at):
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
