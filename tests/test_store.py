@@ -71,7 +71,11 @@ def test_leaderboard(spark, tmp_path):
     store.write_leaderboard(boards, path)
     store.write_leaderboard(boards.filter("board = 'global'"), path)
     assert [r.symbol for r in store.read_board(spark, path, "global").collect()] == ["A", "B"]
-    assert [r.board for r in store.list_boards(spark.read.parquet(path)).collect()] == ["global"]
+    assert [r.board for r in store.list_boards(store.load_boards(spark, path)).collect()] == ["global"]
+    (tmp_path / "b" / "version=9").mkdir()  # a version that was never finished
+    assert store.load_boards(spark, path).count() == 2
+    store.write_leaderboard(boards, path)
+    assert store.load_boards(spark, path).count() == 3 and not (tmp_path / "b" / "version=0").exists()
 
 
 def test_tickers_from_csv_and_upsert(spark, tmp_path):
@@ -93,6 +97,34 @@ def test_weight_backfill(spark):
     assert audit == [("gdelt", 1, 0.75), ("odd", 1, 1.0), ("reddit", 1, 0.2)]
 
 
+def test_backfills_rewrite_touched_dates_only(spark, tmp_path, tickers):
+    path = str(tmp_path / "s")
+    day = F.dayofmonth("timestamp")
+    items = confirmed_items(spark, 4).withColumn("confirmed", F.transform("confirmed", lambda m: m.withField(
+        "source_weight", F.when(day == 9, 1.0).otherwise(0.75))))
+    ready = items.withColumn("embedding", F.when(day != 8, F.array(F.lit(1.0).cast("float")))).withColumn(
+        "minhash_signature", F.when(day != 7, F.array(F.lit(1))))
+    store.write_feed(ready, path, 1, tickers)
+
+    def files(table):
+        return {str(f.parent.parent.name): f.name for f in (tmp_path / "s" / table).glob("dt=*/batch=*/part-*")}
+
+    for table, run, touched in (
+        ("articles", lambda: maintenance.rewrite_minhash(spark, path), 7),
+        ("articles", lambda: maintenance.rewrite_embeddings(spark, path, letters), 8),
+        ("mentions", lambda: maintenance.rewrite_weights(spark, path), 9),
+    ):
+        before = files(table)
+        assert [d.day for d in run()] == [touched]
+        after = files(table)
+        assert {d for d in before if before[d] != after[d]} == {f"dt=2024-01-{touched:02}"} and before.keys() == after.keys()
+        assert run() == []
+    articles, mentions = store.load_articles(spark, path), store.load_mentions(spark, path)
+    assert articles.count() == 4 and mentions.count() == 4
+    assert articles.filter("embedding is null or minhash_signature is null").count() == 0
+    assert {r.source_weight for r in mentions.collect()} == {0.75}
+
+
 def letters(texts):
     return np.array([[1.0 + t.count("a"), 1.0 + t.count("b")] for t in texts])
 

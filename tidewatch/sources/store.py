@@ -85,9 +85,34 @@ def write_feed(items: DataFrame, store: str, batch: int = 0, tickers: DataFrame
     write_table(mentions, f"{store}/mentions", batch)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a versioned folder, oldest first."""
+    fs, root = file_system(spark, path)
+    names = [e.getPath().getName() for e in fs.listStatus(root)] if fs.exists(root) else []
+    found = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+    jvm = spark.sparkContext._jvm
+    return [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/_SUCCESS"))]
+
+
 def write_leaderboard(boards: DataFrame, path: str) -> None:
-    """Replace all boards; one partition per board (a board is at most ten rows)."""
-    boards.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("board").parquet(path)
+    """Replace all boards; one partition per board (a board is at most ten rows).
+
+    A new version is written beside the current one and counts once it is
+    complete, so a reader always finds whole boards.  The version before it
+    stays for readers that have begun; older ones go.
+    """
+    spark = boards.sparkSession
+    before = _versions(spark, path)
+    number = before[-1] + 1 if before else 0
+    boards.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("board").parquet(f"{path}/version={number}")
+    fs, _ = file_system(spark, path)
+    for old in before[:-1]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}"), True)
+
+
+def load_boards(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of all boards."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
 
 
 def list_boards(boards: DataFrame) -> DataFrame:
@@ -97,4 +122,4 @@ def list_boards(boards: DataFrame) -> DataFrame:
 
 def read_board(spark: SparkSession, path: str, board: str) -> DataFrame:
     """One board, best first; reads only its partition."""
-    return spark.read.parquet(path).filter(F.col("board") == board).orderBy("rank")
+    return load_boards(spark, path).filter(F.col("board") == board).orderBy("rank")

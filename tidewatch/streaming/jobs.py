@@ -71,10 +71,28 @@ def stream_sliding(feed: DataFrame, size: str = "24 hours", slide: str = "1 hour
 
 
 def stream_url_dedupe(feed: DataFrame) -> DataFrame:
-    """First arrival of each URL."""
+    """First arrival of each URL within the lateness; see stream_new_urls for the rule over all time."""
     return with_lateness(feed).dropDuplicatesWithinWatermark(["url"])
 
 
+def stream_new_urls(feed: DataFrame, path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
+    """Store the first arrival of each URL, exactly, over all micro-batches and restarts.
+
+    Each batch is compared with the stored URLs, which only rows that share a
+    URL with it leave their files for; no state is kept beside the store.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spec = T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])
+        stored = store.load_table(batch.sparkSession, path, spec).filter(F.col("batch") < batch_id)
+        (
+            dedup.drop_known_urls(batch, stored, order).withColumn("batch", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        )
+
+    return feed.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_update(updates: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Current value per key of a table written by `write_updates`."""
     return updates.groupBy(*keys).agg(

@@ -27,15 +27,15 @@ def finish(q) -> None:
         raise TimeoutError("the stream did not finish in time")
 
 
-def mention_stream(v: Views) -> DataFrame:
-    """Mention facts straight from the event files as they arrive."""
+def mention_stream(v: Views, order: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """Mention facts straight from the event files as they arrive, in three micro-batches at least."""
     e = F.col("event_id")
     units = F.greatest(F.lit(-10000), F.least(F.lit(10000), F.round((F.col("value") - 50) * 100).cast("bigint")))
     sentiment = F.when(e % 17 != 0, units / F.lit(10000.0))
     own = F.struct((e * 2).alias("mention_id"), symbol("user_id").alias("ticker"), sentiment.alias("sentiment"))
     other = F.struct((e * 2 + 1).alias("mention_id"), symbol((F.col("user_id") + 1) % (v.max_user + 1)).alias("ticker"),
                      (-sentiment).alias("sentiment"))
-    rows = v.event_stream().select(
+    rows = v.event_stream(order=order).select(
         e.alias("article_id"), F.col("ts").cast("timestamp").alias("timestamp"), pick(SOURCES, e % 12).alias("source"),
         (pick(WEIGHTS_E2, e % 12) / F.lit(100.0)).alias("source_weight"),
         F.concat(F.lit("https://example.com/"), symbol("user_id"), F.lit("/"), (e % 50).cast("string")).alias("url"),
@@ -65,10 +65,13 @@ def stream_sliding(v: Views):
     return jobs.latest_update(updates, ["ticker", "window_end"], ["mentions"]).select("ticker", ntz("window_end"), "mentions")
 
 
-@query("stream_url_dedupe", "select distinct url from articles")
+@query("stream_url_dedupe", "select url, min(id) first_id from articles group by url")
 def stream_url_dedupe(v: Views):
-    feed = mention_stream(v).select("url", "timestamp")
-    return run_updates(v, jobs.stream_url_dedupe(feed), "append").select("url")
+    """The first arrival of each URL over all micro-batches, however long ago it was stored."""
+    feed = mention_stream(v).select("url", "timestamp", F.col("article_id").alias("id"))
+    out, checkpoint = session.scratch_path(v.spark, "urls"), session.scratch_path(v.spark, "offsets")
+    finish(jobs.stream_new_urls(feed, out, checkpoint, ["timestamp", "id"]))
+    return v.spark.read.parquet(out).select("url", F.col("id").alias("first_id"))
 
 
 @query("stream_near_dup", EDGES + """,
@@ -91,21 +94,23 @@ def stream_near_dup(v: Views):
 def stream_board(v: Views):
     facts, board = session.scratch_path(v.spark, "facts"), session.scratch_path(v.spark, "board")
     finish(jobs.stream_board(mention_stream(v), v.tickers, facts, board, session.scratch_path(v.spark, "offsets")))
-    return v.spark.read.parquet(board)
+    return store.load_boards(v.spark, board)
 
 
 @query("stream_files", "select event_type, count(*) n from events group by 1")
 def stream_files(v: Views):
-    feed = jobs.stream_files(v.spark, f"{v.dir}/events.parquet", v.table("events").schema, files_per_trigger=1)
-    counts = feed.groupBy("event_type").agg(F.count("*").alias("n"))
+    counts = v.event_stream().groupBy("event_type").agg(F.count("*").alias("n"))
     return jobs.latest_update(run_updates(v, counts), ["event_type"], ["n"])
 
 
-@query("stream_lateness", f"""select count(*) n, min(ts) earliest from facts where {COUNTED}""")
+@query("stream_lateness", f""", arrived as (select ticker, ts from facts
+  where {COUNTED} and article_id*3//(select max(event_id)+1 from events) >= 1)
+  select ticker, date_trunc('hour',ts) hour_bucket, count(*) mentions from arrived
+  where date_trunc('hour',ts)+to_hours(1) <= (select max(ts) from arrived) - to_days(7) group by 1,2""")
 def stream_lateness(v: Views):
-    """Rows up to seven days late pass the watermark."""
-    late = jobs.with_lateness(mention_stream(v)).filter("source <> 'stocktwits'").select("mention_id", "timestamp")
-    return run_updates(v, late, "append").agg(F.count("*").alias("n"), F.min("timestamp").cast("timestamp_ntz").alias("earliest"))
+    """Final hourly counts where the oldest third of the events arrives last, after the watermark has passed it."""
+    counts = jobs.stream_hourly(mention_stream(v, (1, 2, 0)))
+    return run_updates(v, counts, "append").select("ticker", ntz("hour_bucket"), "mentions")
 
 
 @query("stream_retention", """, kept as (select id from articles where "timestamp" >= (select t from latest) - to_days(7))
