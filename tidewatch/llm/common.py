@@ -37,14 +37,3 @@ def small(df: DataFrame) -> DataFrame:
     chars = sum((F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0))
     rows, size = df.agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_CHARS else df
-
-
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on one key that may hold a third of the left rows.
-
-    The second, derived key keeps either side from arriving already partitioned
-    by an aggregate, so adaptive execution sees two plain exchanges and may
-    split a hot partition of either.
-    """
-    twin = "_twin"
-    return left.withColumn(twin, F.xxhash64(key)).join(right.withColumn(twin, F.xxhash64(key)), [key, twin], how).drop(twin)

@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.components import join_skewed
 from tidewatch.session import durable
 
-from .common import join_skewed, small
+from .common import small
 from .urls import host
 
 TOKEN = re.compile(

@@ -20,10 +20,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.components import components, join_skewed
 from tidewatch.session import durable
 
-from .common import fresh, join_skewed
-from .components import components
+from .common import fresh
 
 SHINGLE = 3
 DISTANCE = 3
