@@ -79,19 +79,22 @@ for _w in ("6h", "24h", "3d", "7d"):
     )
 
 
-@query("dedupe_titles", """select symbol, count(*) kept from (
-  select ticker symbol, coalesce(nullif(lower(trim(regexp_replace(title,'\\s+-\\s+[^-]+$',''))),''), cast(article_id as varchar)) k
-  from facts group by 1,2) group by 1""")
+@query("dedupe_titles", """select symbol, count(*) kept, cast(sum(id) as bigint) ids from (
+  select symbol, id, row_number() over (partition by symbol, k order by ts desc, id) n from (
+    select ticker symbol, article_id id, ts, coalesce(nullif(lower(trim(regexp_replace(title,'\\s+-\\s+[^-]+$',''))),''), cast(article_id as varchar)) k
+    from facts)) where n=1 group by 1""")
 def dedupe_titles(v: Views):
     news = v.titled_facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
-    return topk.dedupe_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"))
+    return topk.dedupe_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"), F.sum("id").alias("ids"))
 
 
-@query("dedupe_exact_titles", """select ticker as symbol, count(distinct lower(trim(coalesce(title, cast(article_id as varchar))))) kept
-  from facts group by 1""")
+@query("dedupe_exact_titles", """select symbol, count(*) kept, cast(sum(id) as bigint) ids from (
+  select ticker symbol, article_id id, row_number() over (
+    partition by ticker, lower(trim(coalesce(title, cast(article_id as varchar)))) order by ts desc, article_id) n from facts)
+  where n=1 group by 1""")
 def dedupe_exact_titles(v: Views):
     news = v.titled_facts.select(F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "title", "timestamp")
-    return topk.dedupe_exact_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"))
+    return topk.dedupe_exact_titles(news, ["symbol"]).groupBy("symbol").agg(F.count("*").alias("kept"), F.sum("id").alias("ids"))
 
 
 def timeline_sql(window: str) -> str:
@@ -355,17 +358,20 @@ def corpus(v: Views):
     return v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@query("knn_articles", CENTRES + """,
+NEAREST = CENTRES + """,
  cn as (select query_id, sqrt(sum(x*x)) n from centres group by 1),
  vn as (select vec_id, sqrt(sum(cast(x as double)*cast(x as double))) n from dims group by 1),
  dd as (select c.query_id, v.vec_id id, sum(c.x*cast(v.x as double)) dot from centres c join dims v on v.d=c.d group by 1,2),
  dist as (select dd.query_id, id, floor((1e0-dot/(cn.n*vn.n))*1e6+0.5e0)/1e6 distance from dd join cn on cn.query_id=dd.query_id join vn on vn.vec_id=id)
- select query_id, id, distance, rank from (select *, cast(row_number() over (partition by query_id order by distance, id) as integer) as rank from dist) where rank<=10""")
+ select query_id, id, distance, rank from (select *, cast(row_number() over (partition by query_id order by distance, id) as integer) as rank from dist) where rank<=10"""
+
+
+@query("knn_articles", NEAREST)
 def knn_articles(v: Views):
     return vector.knn(centres(v), corpus(v), 10)
 
 
-@query("knn_bucketed")
+@query("knn_bucketed", NEAREST)
 def knn_bucketed(v: Views):
-    """Approximate form; its recall is measured in the tests."""
-    return vector.knn_bucketed(centres(v), corpus(v), 10, lists=20, probes=4)
+    """The inverted-list form with all lists probed, which must be exact; the recall of fewer is measured in the tests."""
+    return vector.knn_bucketed(centres(v), corpus(v), 10, lists=20, probes=20)

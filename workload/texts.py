@@ -141,11 +141,11 @@ def title_keys(v: Views):
                              text.stable_id("article", "source", "url").alias("stable"))
 
 
-@query("compose_text", """select id, md5(concat(title,' ',content)) whole, length(substr(concat(title,e'\\n\\n',content),1,40)) cut from articles""")
+@query("compose_text", """select id, md5(concat(title,' ',content)) whole, md5(substr(concat(title,e'\\n\\n',content),1,40)) cut from articles""")
 def compose_text(v: Views):
     return v.articles.select(
         "id", F.md5(text.compose_text("title", "content")).alias("whole"),
-        F.length(text.compose_text("title", "content", 40, "\n\n")).cast("bigint").alias("cut"))
+        F.md5(text.compose_text("title", "content", 40, "\n\n")).alias("cut"))
 
 
 SYMBOLS = f"""select distinct id, symbol from (select id, ltrim(unnest(regexp_extract_all(title,'\\$[A-Z]{{2,5}}\\b|\\b[A-Z]{{2,5}}\\b')),'$') symbol from articles)
@@ -174,17 +174,17 @@ BY_COMPANY = f"""select distinct a.id, kw.symbol from (
   select distinct id, unnest(regexp_extract_all(lower(title),'{WORD}')) w from articles) a join kw on kw.w=a.w"""
 
 
-# counts per article: a common word names many companies
-@query("extract_by_company", KEYWORDS + f""" select id, count(*) n, min(symbol) first, max(symbol) last from ({BY_COMPANY}) group by 1""")
+# one digest per article: a common word names many companies
+@query("extract_by_company", KEYWORDS + f""" select id, count(*) n, md5(string_agg(symbol, '|' order by symbol)) symbols from ({BY_COMPANY}) group by 1""")
 def extract_by_company(v: Views):
     return per_article(extract.extract_by_company(v.articles, v.tickers))
 
 
 def per_article(found):
-    return found.groupBy("id").agg(F.count("*").alias("n"), F.min("symbol").alias("first"), F.max("symbol").alias("last"))
+    return found.groupBy("id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("symbol")), "|")).alias("symbols"))
 
 
-@query("extract_tickers", KEYWORDS + f""" select id, count(*) n, min(symbol) first, max(symbol) last from (
+@query("extract_tickers", KEYWORDS + f""" select id, count(*) n, md5(string_agg(symbol, '|' order by symbol)) symbols from (
   select id, symbol from ({BY_COMPANY}) union select id, symbol from ({SYMBOLS})) group by 1""")
 def extract_tickers(v: Views):
     return per_article(extract.extract_tickers(v.articles, v.tickers))
@@ -237,19 +237,27 @@ def hashing_encoder(texts: list[str]) -> np.ndarray:
 
 
 LETTERS = """, letters as (select doc_id id, unicode(unnest(string_split(text,''))) %32 d from documents),
- vec as (select id, sum(case when d=1 then n else 0 end)/sqrt(sum(n*n)) x from (select id, d, count(*) n from letters group by 1,2) group by 1)"""
+ counted as (select id, d, count(*) n from letters group by 1,2),
+ vec as (select doc_id id, md5(string_agg(cast(floor(cast(cast(coalesce(n,0)/norm as float) as double)*1e4+0.5e0) as bigint), ',' order by r.d)) x
+   from documents, range(32) r(d) join (select id, sqrt(sum(n*n)) norm from counted group by 1) s on true
+   left join counted c on c.id=doc_id and c.d=r.d where s.id=doc_id group by 1)"""
 
 
-@query("embed", LETTERS + f" select id doc_id, 32 dim, {r4('cast(cast(x as float) as double)')} weight from vec")
+def places(column: str):
+    """A digest of all numbers of a vector, to four places."""
+    return F.md5(F.array_join(F.transform(column, lambda x: F.floor(x.cast("double") * 1e4 + 0.5).cast("bigint").cast("string")), ","))
+
+
+@query("embed", LETTERS + " select id doc_id, 32 dim, x vector from vec")
 def embed(v: Views):
     docs = models.embed(documents(v), hashing_encoder)
-    return docs.select("doc_id", F.size("embedding").alias("dim"), scores.round4(F.col("embedding")[1].cast("double")).alias("weight"))
+    return docs.select("doc_id", F.size("embedding").alias("dim"), places("embedding").alias("vector"))
 
 
-@query("embedding_backfill", """ select doc_id id, case when doc_id in (select doc_id from labels) then 1 else 32 end dim from documents""")
+@query("embedding_backfill", LETTERS + """ select id, case when id in (select doc_id from labels) then md5('10000') else x end as vector from vec""")
 def embedding_backfill(v: Views):
     done = v.table("labels").select("doc_id", F.lit(True).alias("done")).distinct()
     docs = documents(v).join(done, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content"),
         F.when(F.col("done"), F.array(F.lit(1.0).cast("float"))).alias("embedding"))
-    return maintenance.backfill_embeddings(docs, hashing_encoder).select("id", F.size("embedding").alias("dim"))
+    return maintenance.backfill_embeddings(docs, hashing_encoder).select("id", places("embedding").alias("vector"))
