@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,19 +95,44 @@ def test_nested(spark, tables):
     assert rows["zzz"].intent == "general_search"
 
 
-def test_batch_keywords_equal_single(spark, tables, monkeypatch):
+def by_query(df):
+    out = {}
+    for row in df.collect():
+        out.setdefault(row.query_id, set()).add(row.id)
+    return out
+
+
+def test_batch_keywords_equal_single(spark, tables):
     _, articles, _ = tables
-    queries = ["alpha quarter", "falls of x", "nothing rises"]
+    queries = ["alpha quarter", "falls of x", "nothing rises", "weak_q", "weakxq", "rise%", "of x", "ÀLPHA"]
     log = spark.createDataFrame([(q, q) for q in queries], "query_id string, raw_query string")
-    for plain, automaton, per_pass in ((32, sx.ahocorasick, 100), (0, sx.ahocorasick, 100), (0, None, 100), (0, sx.ahocorasick, 2)):
-        monkeypatch.setattr(sx, "PLAIN_WORDS", plain)
-        monkeypatch.setattr(sx, "WORDS_PER_PASS", per_pass)
-        monkeypatch.setattr(sx, "ahocorasick", automaton)
-        batch = {}
-        for row in sx.keyword_search_batch(log, articles).collect():
-            batch.setdefault(row.query_id, set()).add(row.id)
-        for q in queries:
-            assert batch.get(q, set()) == {r.id for r in sx.keyword_search(articles, q).collect()}
+    batch = by_query(sx.keyword_search_batch(log, articles))
+    for q in queries:
+        assert batch.get(q, set()) == {r.id for r in sx.keyword_search(articles, q).collect()}, q
+
+
+def test_one_word_in_every_query(spark):
+    """A hot word is cut to what can matter; the newest k per URL stay exact."""
+    rng = random.Random(2)
+    words = ["news", "stock", "rally", "crash", "newsroom", "quiet"]
+    rows = [(i, "s", " ".join(rng.choices(words, k=2)), f"{rng.choice(words)}\nnews", f"u{rng.randrange(25)}",
+             dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randrange(200))) for i in range(150)]
+    articles = spark.createDataFrame(rows, "id long, source string, title string, content string, url string, timestamp timestamp")
+    queries = ["news"] + [f"news {w}" for w in words[1:]] + [f"{a} {b}" for a in words for b in words if a < b]
+    log = spark.createDataFrame([(q, q) for q in queries], "query_id string, raw_query string")
+    batch = by_query(sx.keyword_search_batch(log, articles, 4))
+    assert batch == {q: {r.id for r in sx.keyword_search(articles, q, 4).collect()} for q in queries}
+
+
+def test_queries_without_a_vector_go_to_keywords(spark, tables):
+    tickers, articles, mentions = tables
+    articles = articles.withColumn("embedding", models.hashed_vector("title"))
+    queries = ["alpha rises", "alpha quarter"]
+    df = spark.createDataFrame([(q, q) for q in queries], "query_id string, query string")
+    df = df.withColumn("embedding", F.when(F.col("query") == queries[0], models.hashed_vector("query")))
+    r = sx.search(df, tickers, articles, mentions, AS_OF)
+    assert listed(r.news, queries[0], "id")[0] == 1
+    assert sorted(listed(r.news, queries[1], "id")) == [2, 3]
 
 
 def test_partial_match_is_limited_and_unique(spark):

@@ -100,14 +100,18 @@ def _holding(tokens: DataFrame, words: DataFrame) -> DataFrame:
 def _useful(rows: DataFrame, key: str, k: int) -> DataFrame:
     """The rows of each key that can be among a query's k newest, one per key and URL in `rows`.
 
-    The row that represents a URL is its highest id among the keys asked for.
-    Where a key holds that very row, its place in time is the same for every
-    query, so the key's k newest such rows are enough; the other rows are kept.
+    The row that represents a URL is its highest id among the keys a query asks
+    for; `_beaten` names the keys that hold a higher one.  A row that no key
+    beats has the same place in time for every query, so a key's k newest such
+    rows are enough; the others are kept, for the caller to drop where the
+    query asks for a key that beats them.
     """
     # a URL has at most one row per key here, so this window is bounded by the number of keys
-    top = rows.withColumn("_own", F.col("id") == F.max("id").over(Window.partitionBy("url")))
-    newest = Window.partitionBy(key, "_own").orderBy(F.desc("timestamp"), F.desc("id"))
-    return top.withColumn("_n", F.row_number().over(newest)).filter((F.col("_n") <= k) | ~F.col("_own")).drop("_own", "_n")
+    of_url = F.collect_list(F.struct("id", F.col(key).alias("key"))).over(Window.partitionBy("url"))
+    marked = rows.withColumn("_all", of_url).withColumn(
+        "_beaten", F.transform(F.filter("_all", lambda x: x["id"] > F.col("id")), lambda x: x["key"])).drop("_all")
+    newest = Window.partitionBy(key, F.size("_beaten") == 0).orderBy(F.desc("timestamp"), F.desc("id"))
+    return marked.withColumn("_n", F.row_number().over(newest)).filter((F.col("_n") <= k) | (F.size("_beaten") > 0)).drop("_n")
 
 
 def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab.SEARCH_SIZE) -> DataFrame:
@@ -125,7 +129,9 @@ def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab
     held = durable(_holding(base.select("token"), words.select("word").distinct()))
     hits = first_per_key(base.join(held.select("token").distinct(), "token", "left_semi"), F.struct("token", "url"), ["id", "timestamp"], latest=True)
     latest = first_per_key(hits.join(held, "token").drop("token"), F.struct("word", "url"), ["id", "timestamp"], latest=True)
-    news = topk.latest_per_url(_useful(latest, "word", k).join(words, "word").drop("word"), k, ["query_id"])
+    asked = words.groupBy("query_id").agg(F.collect_set("word").alias("_asked")).select("query_id", "_asked", F.explode("_asked").alias("word"))
+    met = _useful(latest, "word", k).join(asked, "word").filter(~F.arrays_overlap("_beaten", "_asked"))
+    news = topk.latest_per_url(met.drop("word", "_asked", "_beaten"), k, ["query_id"])
     return news.select("query_id", "id", "source", "title", "url", "timestamp")
 
 
@@ -173,7 +179,8 @@ def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
     )
     latest = first_per_key(rows, F.struct("symbol", "url"), ["id", "timestamp", "sentiment"], latest=True)
     useful = _useful(latest, "symbol", k)
-    news = topk.latest_per_url(useful.join(members, "symbol").drop("symbol"), k, ["symbols"])
+    met = useful.join(members, "symbol").filter(~F.arrays_overlap("_beaten", "symbols"))
+    news = topk.latest_per_url(met.drop("symbol", "_beaten"), k, ["symbols"])
     return sets.join(news, "symbols").drop("symbols").withColumn("sentiment", scores.round4("sentiment"))
 
 
@@ -215,8 +222,10 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
             ranked = knn(vectors, held.select("id", "url", "embedding"), k).select("query_id", "id", "rank")
             near = ranked.join(articles.select("id", "source", "title", "url", "timestamp"), "id").select(cols_found)
             by_words = by_words.join(vectors.select("query_id"), "query_id", "left_anti")
-    found = _ranked(keyword_search_batch(by_words, articles, k), [F.desc("timestamp"), F.desc("id")], k).select(cols_found)
-    found = found if near is None else near.unionByName(found)
+    found = near
+    if near is None or not by_words.isEmpty():
+        worded = _ranked(keyword_search_batch(by_words, articles, k), [F.desc("timestamp"), F.desc("id")], k).select(cols_found)
+        found = worded if near is None else near.unionByName(worded)
     found = durable(found)
     mentioned = mentions.join(found.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi")
     sentiment = fx.article_sentiment(mentioned).select(

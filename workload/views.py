@@ -2,7 +2,7 @@
 
 `events` are read as published articles, `user_id` as tickers and `part` names
 as company names; `raw_*` render the same events as the payloads of each
-source.  `oracle.py` states the same derivations in SQL.
+source.  `catalog.py` states the same derivations in SQL.
 """
 
 from __future__ import annotations
