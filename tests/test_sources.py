@@ -103,7 +103,8 @@ def test_rss(spark):
     items = "".join(
         f"<item><title> N{i} - W </title><link>{'' if i == 2 else f'http://x/{i}'}</link><description></description></item>" for i in range(20))
     feed = spark.createDataFrame([("GE", f"<rss><channel>{items}</channel></rss>"), ("XX", "<rss><chan")], "feed string, xml string")
-    got = rows(feeds.normalize_yahoo_rss(feed, NOW))
+    assert len(rows(feeds.normalize_yahoo_rss(feed, NOW))) == 19  # no cap unless asked for
+    got = rows(feeds.normalize_yahoo_rss(feed, NOW, 15))
     assert len(got) == 14 and {r["content"] for r in got} >= {"N0 - W", "N14 - W"} and got[0]["tickers"] == ["GE"]
     g = rows(feeds.normalize_google_rss(feed, NOW))
     assert g[0]["fingerprint"] == "N0" and g[0]["tickers"] == [] and g[0]["timestamp"] == NOW
