@@ -184,7 +184,7 @@ def _term_counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 def _g_squared(a, b, toxic, clean):
     """Likelihood ratio of a term in a of `toxic` and b of `clean` texts against one common rate."""
-    rate = (a + b) / (toxic + clean)
+    rate = (a + b) / max(toxic + clean, 1)
     part = lambda k, n: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(n * rate, 1e-9)), 0.0)
     return 2 * (part(a, toxic) + part(b, clean) + part(toxic - a, toxic * (1 - rate) / np.maximum(rate, 1e-9)) + part(clean - b, clean * (1 - rate) / np.maximum(rate, 1e-9)))
 
