@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -28,6 +28,15 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: Rows that Spark hands to a Python task at a time, where documents are whole texts.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound the memory of Python tasks over whole texts; their workers wait beside the next stage's tasks for a while."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 #: Rows, and characters in them, of a table that may be sent to every task.
 BROADCAST_ROWS, BROADCAST_CHARS = 20_000, 4_000_000
 
