@@ -75,3 +75,22 @@ def test_supplied_pages(spark):
         blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", story))
         want[r.page_id] = "\n".join(b for b in blocks if b)
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == want
+
+
+PROSE = [f"<p>{(word + ' ') * 40}</p>" for word in ("one", "two", "three", "four", "five")]
+WHOLE = "\n".join(((word + " ") * 40).strip() for word in ("one", "two", "three", "four", "five"))
+PARTS = "<{0}>" + "".join(PROSE[:3]) + "</{1}><{2}>" + "".join(PROSE[3:]) + "</{3}>"
+HELD = {
+    "wrap": page("".join(PROSE), 'div class="content-sidebar-wrap"'), "main": page("".join(PROSE), 'main class="has-sidebar"'),
+    "article": page("".join(PROSE), 'article class="post has-comments"'), "most": page("".join(PROSE), "div class=sidebar-left"),
+    "no container": "<body>" + "".join(PROSE[:-1]) + "<p class=has-share>" + PROSE[-1][3:] + "</body>",
+    "two parts": page(PARTS.format("div class=a", "div", "div class=b", "div"), "div class=wrap"),
+    "two levels": page("<div>" + PARTS.format("section class=a", "section", "section class=b", "section") + "</div>"),
+    "comments": page("".join(PROSE) + '<div class="post-comments"><p>' + "no " * 60 + "</p></div>"),
+}
+
+
+@pytest.mark.parametrize("name", list(HELD))
+def test_whole_article(name):
+    read = html_text.Page(HELD[name])
+    assert read.text(read.best()[0]) == WHOLE

@@ -41,11 +41,30 @@ OUTER_WORDS = frozenset(
     " recommended breadcrumb breadcrumbs comment comments disqus reply replies login signup search pagination pager toolbar"
     " copyright hidden navigation contentinfo complementary alert dialog".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
+#: Words before an outer word, and around it, that speak of an element which holds or lacks the outer part.
+HOLDING, LAST = frozenset("has have with no without".split()), frozenset("wrap wrapper container".split())
+#: A container gives way to an ancestor that holds this part more of running text.
+MORE = 1 / 8
 
 
-def _attributes(rest: str) -> tuple[str, list[str], bool]:
-    """Generalised classes, the words of class, id and role, and whether the element is hidden."""
-    classes, words, hidden = "", [], False
+def _words(value: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
+def _outer(value: str) -> bool:
+    """Whether a class, id or role names an outer part, and not an element that holds or lacks one."""
+    for name in value.split():
+        words = _words(name)
+        if words and words[0] in ("content", "main") and words[-1] in LAST:
+            continue
+        if any(w in OUTER_WORDS and not (i and words[i - 1] in HOLDING) for i, w in enumerate(words)):
+            return True
+    return False
+
+
+def _attributes(rest: str) -> tuple[str, list[str], bool, bool]:
+    """Generalised classes, the words of class, id and role, whether they name an outer part, and whether the element is hidden."""
+    classes, words, outer, hidden = "", [], False, False
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
         if name == "style":
@@ -55,18 +74,24 @@ def _attributes(rest: str) -> tuple[str, list[str], bool]:
         elif name == "aria-hidden":
             hidden |= value.lower() == "true"
         else:
-            words += re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            words += _words(value)
+            outer |= _outer(value)
             if name == "class":
                 classes = "".join("." + re.sub(r"\d+", "#", c) for c in sorted(set(value.lower().split())))
-    return classes, words, hidden
+    return classes, words, outer, hidden
 
 
 class Page:
-    """Containers and text blocks of one page; outer parts are left out while reading."""
+    """Containers and text blocks of one page, without its outer parts.
+
+    What only its class, id or role calls an outer part is left out unless it
+    holds most of the running text.
+    """
 
     def __init__(self, source: str | None):
         self.parent, self.path, self.weight = [-1], [""], [1]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
+        named: dict[int, bool] = {}  # nodes that a word calls outer parts, and whether they can be containers
         stack: list[tuple[str, int]] = []  # element, its container or -1 within outer parts
         pieces: list[str] = []
         linked = depth = 0
@@ -109,11 +134,14 @@ class Page:
                     stack.pop()
                 if name == "body":
                     close("head")
-                classes, words, hidden = _attributes(m["rest"]) if m["rest"].strip() else ("", [], False)
+                classes, words, outer, hidden = _attributes(m["rest"]) if m["rest"].strip() else ("", [], False, False)
                 node = stack[-1][1] if stack else 0
-                if node >= 0 and (name in OUTER or hidden or (name not in ("html", "body") and OUTER_WORDS.intersection(words))):
+                outer &= name not in ("html", "body", "article", "main")
+                if node >= 0 and (name in OUTER or hidden):
                     node = -1
-                elif node >= 0 and name in HOLDERS:
+                elif node >= 0 and (outer or name in HOLDERS):
+                    if outer:
+                        named[len(self.path)] = name in HOLDERS
                     self.parent.append(node)
                     self.path.append(f"{self.path[node]}>{name}{classes}")
                     self.weight.append(6 if name in ("article", "main") else 3 if MAIN_WORDS.intersection(words) else 2)
@@ -121,9 +149,34 @@ class Page:
                 if name not in VOID and not m["rest"].endswith("/"):
                     stack.append((name, node))
         flush()
+        if named:
+            self._leave_out(named)
+
+    def _running(self) -> list[int]:
+        """The running text within each container."""
+        total = [0] * len(self.path)
+        for node, text, linked in self.blocks:
+            total[node] += max(0, len(text) - 3 * linked)
+        for node in range(len(total) - 1, 0, -1):  # parents come first
+            total[self.parent[node]] += total[node]
+        return total
+
+    def _leave_out(self, named: dict[int, bool]) -> None:
+        total = self._running()
+        place = list(range(len(self.path)))  # the container that a node's blocks belong to, or -1
+        for node in range(1, len(place)):
+            above = place[self.parent[node]]
+            if above < 0 or (node in named and 2 * total[node] <= total[0]):
+                place[node] = -1
+            elif not named.get(node, True):
+                place[node] = above
+        self.blocks = [(place[node], text, linked) for node, text, linked in self.blocks if place[node] >= 0]
 
     def best(self) -> tuple[str, int]:
-        """The path of the likeliest main container and its score: running text, halved at each step up."""
+        """The path of the likeliest main container and its score: running text, halved at each step up.
+
+        Where an ancestor of the likeliest holds notably more, within an article or main element if there is one, it is taken instead.
+        """
         score = [0] * len(self.path)
         for node, text, linked in self.blocks:
             worth = 256 * max(0, len(text) - 3 * linked)
@@ -131,7 +184,14 @@ class Page:
                 score[node] += worth * self.weight[node]
                 node, worth = self.parent[node], worth // 2
         i = max(range(len(score)), key=lambda k: (score[k], -k))
-        return self.path[i], score[i]
+        total, node, most = self._running(), i, score[i]
+        while node > 0 and self.weight[i] < 6:
+            node = self.parent[node]
+            if total[node] - total[i] > MORE * total[i]:
+                i = node
+            elif self.weight[node] == 6:
+                break
+        return self.path[i], most
 
     def text(self, path: str | None) -> str:
         """The blocks within containers of a path, one a line; empty if there are none."""
