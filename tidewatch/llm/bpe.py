@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = b"\t\n\v\f\r "
-#: Bytes that a fragment has at least, unless the text ends; and rows that a task hands on at a time.
-FRAGMENT, ROWS = 2048, 500
+#: Texts and bytes that a task encodes at a time; fragments whose ids it remembers, and their most bytes.
+ROWS, CHUNK, MEMO, MEMO_BYTES = 500, 1 << 23, 400_000, 48
 #: How byte-level vocabularies split text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -50,41 +51,119 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _kind(byte: int) -> str:
+    """How the splitting pattern sees the character that a byte begins or is; a later byte of a character has no kind."""
+    c = chr(byte)
+    if byte >= 128:
+        return "wide" if byte >= 192 else ""
+    return "blank" if c in "\t\n\v\f\r " else "letter" if c.isalpha() else "digit" if c.isdigit() else "sign"
+
+
+def certain_cuts(tokens: Iterable[bytes]) -> np.ndarray:
+    """A table of 256 x 256: may a text be cut between these two bytes?
+
+    No token holds the pair, and splitting the text before merging gives the same
+    pieces on either side, or pieces that the pair alone keeps apart:
+    white space on the right never belongs to the piece on the left; signs,
+    digits and letters either stand in one run of their kind or in two.  An
+    apostrophe may open a contraction, which depends on what stands before it
+    and takes what stands behind it, and white space on the left is read with
+    what follows, so there is no such cut beside them.
+    """
+    held = np.zeros((256, 256), bool)
+    for token in tokens:
+        held[np.frombuffer(token, np.uint8)[:-1], np.frombuffer(token, np.uint8)[1:]] = True
+    kinds = [_kind(b) for b in range(256)]
+    allowed = np.zeros((256, 256), bool)
+    for a in range(256):
+        for b in range(256):
+            left, right = kinds[a], kinds[b]
+            if right == "blank":
+                allowed[a, b] = True
+            elif left in ("letter", "digit", "sign") and right:
+                allowed[a, b] = a != ord("'") and (b != ord("'") or left != "sign")
+    return allowed & ~held
+
+
 class Encoder(Vocabulary):
     """Merges each fragment between certain cuts on its own."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        inside = {pair for token in self.ids for pair in zip(token, token[1:])}
-        #: Where white space follows a byte that no token holds before it.  There the splitting pattern starts a new
-        #: piece anyway, or both bytes stand in one run of white space, which the pair alone keeps apart: either way
-        #: each side comes out as it does in the whole text.
-        tight = bytes(a for a in range(256) if not any((a, b) in inside for b in BLANK))
-        self.cut = re.compile(rb"(?<=[" + re.escape(tight) + rb"])(?=[\t-\r ])")
+        self.cuts = certain_cuts(self.ids).ravel()
         order = [bytes([b]) for b in range(256)]
         for merge in self.spec["model"]["merges"]:
             order.append(b"".join(map(self.raw, merge if isinstance(merge, list) else merge.split(" "))))
-        self.by_rank = np.array([self.ids[token] for token in order], "<i4")
+        self.by_rank = [self.ids[token] for token in order]
         self.model = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})
-        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.specials = re.compile(b"|".join(re.escape(x.encode()) for x in self.special)) if self.special else None
+        self.whole = {x.encode(): [i] for x, i in self.special.items()}
+        self.known: dict[bytes, list[int]] = {}
         del self.spec
 
-    def fragments(self, text: str) -> Iterator[str]:
-        """The text, cut at the first certain cut after every FRAGMENT bytes."""
-        data, start = text.encode(), 0
-        while m := self.cut.search(data, start + max(1, FRAGMENT)):
-            yield data[start:m.start()].decode()
-            start = m.start()
-        yield data[start:].decode()
+    def cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """All fragments of some texts, one after the other, and how many each text has."""
+        data = b"".join(texts)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        codes = np.frombuffer(data, np.uint8).astype(np.int32)
+        here = np.zeros(len(data) + 1, bool)
+        here[1:-1] = self.cuts[codes[:-1] * 256 + codes[1:]]
+        if self.specials:  # each is a fragment of its own
+            for text, end in zip(texts, ends.tolist()):
+                for m in self.specials.finditer(text):
+                    a, b = m.start() + end - len(text), m.end() + end - len(text)
+                    here[a + 1:b] = False
+                    here[[a, b]] = True
+        here[0] = True
+        here[ends] = True
+        at = np.flatnonzero(here)
+        counts = np.diff(np.searchsorted(at, np.r_[0, ends]))
+        parts = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype("<i4").tobytes()), pa.py_buffer(data)])
+        return parts, counts
+
+    def merged(self, fragment: bytes) -> list[int]:
+        """Ids of one fragment; those of short ones are remembered until there are MEMO of them."""
+        if fragment in self.whole:
+            return self.whole[fragment]
+        by_rank = self.by_rank
+        ids = [by_rank[i] for i in self.model.encode_ordinary(fragment.decode())]
+        if len(fragment) <= MEMO_BYTES:
+            if len(self.known) >= MEMO:
+                self.known.clear()
+            self.known[fragment] = ids
+        return ids
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; every different fragment is merged once a chunk of texts."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            held.append((text or "").encode())
+            size += len(held[-1])
+            if len(held) >= ROWS or size >= CHUNK:
+                yield from self._encoded(held)
+                held, size = [], 0
+        if held:
+            yield from self._encoded(held)
+
+    def _encoded(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not any(texts):
+            yield from (np.zeros(0, "<i4") for _ in texts)
+            return
+        parts, counts = self.cut(texts)
+        coded = parts.dictionary_encode()
+        get, merged = self.known.get, self.merged
+        ids = [get(x) or merged(x) for x in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, starts = np.fromiter(chain.from_iterable(ids), "<i4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        sizes, ends = sizes[which], np.cumsum(sizes[which])
+        out = flat[np.repeat(starts[which] - ends + sizes, sizes) + np.arange(ends[-1])]
+        last = np.r_[0, ends][np.cumsum(counts)]
+        yield from np.split(out, last[:-1])
 
     def encode(self, text: str | None) -> np.ndarray:
-        out: list[np.ndarray] = []
-        for i, part in enumerate(self.specials.split(text or "") if self.specials else [text or ""]):
-            if i % 2:
-                out.append(np.array([self.special[part]], "<i4"))
-            else:
-                out += [self.by_rank[self.model.encode_ordinary(x)] for x in self.fragments(part) if x]
-        return np.concatenate(out) if out else np.zeros(0, "<i4")
+        return next(self.encode_all([text]))
 
 
 @lru_cache(maxsize=2)
@@ -108,8 +187,9 @@ def encode(text: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(path)
         for texts in batches:
+            found = own.encode_all(texts)
             for at in range(0, len(texts), ROWS):
-                yield pd.Series([own.encode(t) for t in texts[at:at + ROWS]], dtype=object)
+                yield pd.Series(list(islice(found, ROWS)), dtype=object)
 
     return run(text)
 
