@@ -1,11 +1,12 @@
-"""The corpus queries op1 to op10, and the SQL of those that have one."""
+"""The corpus queries op1 to op13, and the SQL of those that have one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, language, lm, mixing, quality, simhash, toxicity, urls
+from . import ann, bpe, fill_in_middle, html_text, language, lm, mixing, packing, periodic, quality, simhash, toxicity, urls
+from .common import WORD
 
 QUERIES = {}
 ORACLES = {}
@@ -186,3 +187,40 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+@query("op11_packing")
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and offset of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by a checksum of its doc_id, repeats a stretch of its words from some place on."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(1))
+    checked = docs.select("doc_id", "text", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    repeated = checked.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), words.alias("words")).select(
+        "doc_id", "text", "g", "words", F.size("words").cast("long").alias("n"))
+    repeated = repeated.withColumn("a", F.expr("case when n > 0 then g % n end")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    text = F.expr("case when n > 0 then array_join(transform(sequence(0, int(n) - 1), "
+                  "i -> words[int(case when i < a then i else a + (i - a) % p end)]), ' ') else text end")
+    return checked.where("h % 10 <> 0").select("doc_id", "text").union(
+        repeated.where("h % 10 = 0").select("doc_id", text.alias("text")))
+
+
+@query("op12_periodic")
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, some of them planted, and digests of them and of the collapsed text."""
+    found = planted(table(spark, sf_dir, "documents")).select("doc_id", periodic.runs(F.col("text")).alias("f")).select("doc_id", "f.*")
+    longest = F.expr("array_min(transform(runs, r -> struct(-r.length as size, r.start as start, r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.size")).alias("length"),
+        F.col("longest.period").alias("period"), F.expr("(1000 * -longest.size) div longest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_fill_in_middle")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and digests of every document's fill-in-the-middle output and of the text restored from it."""
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"))
