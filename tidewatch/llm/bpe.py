@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts and bytes that a task encodes at a time; fragments whose ids it remembers, and their most bytes.
-ROWS, CHUNK, MEMO, MEMO_BYTES = 500, 1 << 23, 400_000, 48
+ROWS, CHUNK, MEMO, MEMO_BYTES = 500, 1 << 21, 100_000, 32
 #: How byte-level vocabularies split text before merging (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
