@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidewatch.llm import queries, simhash
+from tidewatch.llm import queries, similar
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -31,9 +31,17 @@ def test_stages(spark):
 
 
 def test_one_of_each_group_stays(spark):
+    """Against all pairs of texts of the same shingle counts, at a similarity of 0.8."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect())
-    assert kept == sorted({r.component_id for r in simhash.near_duplicates(docs).collect()})
+    rows = sorted((r.doc_id, set(similar.shingles_of(r.text).tolist())) for r in docs.select("doc_id", "text").collect())
+    group = {doc_id: doc_id for doc_id, _ in rows}
+    for i, (x, one) in enumerate(rows):
+        for y, two in rows[:i]:
+            if group[x] != group[y] and (one == two or len(one & two) >= 0.8 * len(one | two) - 1e-9):
+                low, high = sorted((group[x], group[y]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    assert len(set(group.values())) < len(rows) and kept == sorted(set(group.values()))
 
 
 def test_odd_documents(spark):

@@ -35,19 +35,28 @@ SPLIT = 4096
 LEAF, FAN = 16, 8
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
-    """The signed 64-bit fingerprint of one text; 0 without a word."""
+def hashes_of(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's word shingles in order, repeats included; a text of fewer words is one shingle, one without a word has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     parts = [words[i:] for i in range(shingle)] if len(words) >= shingle else [[b" ".join(words)]]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*parts)), repeat(42)), dtype="<u8")
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*parts)), repeat(42)), dtype="<u8")
+
+
+def code_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of shingle hashes; 0 without any."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 65536):
         bits = np.unpackbits(hashes[start:start + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     packed = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(packed.view("<i8")[0])
+    return int(packed.view("<i8")[0]) if len(hashes) else 0
+
+
+def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
+    """The signed 64-bit fingerprint of one text; 0 without a word."""
+    return code_of(hashes_of(text, shingle))
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
