@@ -1,16 +1,19 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network predicts every word class of a text from the two words on either
-side of it; a text's score is the sum of those conditional log-probabilities.
-Frequent words are classes of their own, other words share a class by their
-ending.  Words are counted over the whole corpus.  The training runs in rounds,
-which mask every position of every document: each partition trains on its own
-examples from the common weights, and Spark averages the results.
+A small network predicts every word of a text from the two words on either side
+of it; a text's score is the sum of those conditional log-probabilities.  The
+network gives the probability of the word's class: frequent words are classes of
+their own, other words share one by their ending.  The probability of the word
+within its class comes from counts of all words of the whole corpus, with a
+share for words that were never seen.  The training runs in rounds, which mask
+every position of every document: each partition trains on its own examples from
+the common weights, and Spark averages the results.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,47 +24,64 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import durable
 
-from .common import WORD
-
 #: Classes of frequent words and of other words' endings, context words on each side, and hidden units.
 FREQUENT, ENDINGS, REACH, HIDDEN = 192, 64, 2, 24
 CLASSES = FREQUENT + ENDINGS
+#: Classes are predicted in two steps, a cluster and a member of it.
+CLUSTERS = MEMBERS = 16
+#: Slots in which the words of an ending are counted, by a checksum; words of one slot share their probability.
+SLOTS = 16_384
 EDGE = CLASSES  # stands for what is before and after a text
-#: One position in so many is masked in a round, so as many rounds mask all; least number of rounds; examples per step; step size.
-MASKED, ROUNDS, STEP_ROWS, RATE = 32, 3, 256, 0.01
-#: Words in a stored block, and positions scored at a time.
-BLOCK, CHUNK = 65_536, 8192
+#: One position in so many is masked in a round, so as many rounds mask all; least number of rounds; examples of a task's first
+#: steps and of its later ones, which are twice as many every RAMP steps; step size.
+MASKED, ROUNDS, STEP_ROWS, MOST_ROWS, RAMP, RATE = 32, 3, 256, 4096, 32, 0.01
+#: Words in a stored block, positions scored at a time, words whose code a task remembers, and tasks that train.
+BLOCK, CHUNK, MEMO, TASKS = 65_536, 8192, 200_000, 4096
+#: Averaged weights are summed as whole numbers of this part of one, so their order doesn't matter.
+UNIT = 1 << 16
+
+
+def slot_of(word: bytes) -> int:
+    """Ending and slot of a lower-cased word, as one number."""
+    ending = (word[-1] * 7 + (word[-2] if len(word) > 1 else 0) * 31) % ENDINGS
+    return ending * SLOTS + zlib.crc32(word) % SLOTS
 
 
-class Classes(dict):
-    """The class of a lower-cased word."""
+class Codes(dict):
+    """The code of a lower-cased word: its class if it is frequent, else FREQUENT and its slot_of()."""
 
     def __missing__(self, word: bytes) -> int:
-        return FREQUENT + (word[-1] * 7 + (word[-2] if len(word) > 1 else 0) * 31) % ENDINGS
+        code = FREQUENT + slot_of(word)
+        if len(self) < MEMO:
+            self[word] = code
+        return code
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int16, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def classes_of(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < FREQUENT, codes, FREQUENT + (codes - FREQUENT) // SLOTS).astype(np.int16)
 
 
 @dataclass(frozen=True)
 class Model:
-    classes: dict[bytes, int]
-    inward: np.ndarray  # one table of hidden contributions per context place
-    bias: np.ndarray
-    outward: np.ndarray
-    level: np.ndarray
+    frequent: dict[bytes, int]
+    within: np.ndarray  # ln P(word | class) by code
+    weights: np.ndarray
 
 
-def windows(classes: np.ndarray) -> np.ndarray:
-    """For every position the classes of its context, left to right, and its own in the last column."""
+def windows(classes: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """For positions (every one by default) the classes of their context, left to right, and their own in the last column."""
     padded = np.pad(classes, REACH, constant_values=EDGE)
+    at = np.arange(len(classes)) if at is None else at
     places = [i for i in range(2 * REACH + 1) if i != REACH] + [REACH]
-    return np.stack([padded[i:i + len(classes)] for i in places], axis=1)
+    return padded[at[:, None] + np.array(places)]
 
 
 def _shapes() -> list[tuple[int, ...]]:
-    return [(2 * REACH, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,)]
+    return [(2 * REACH, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLUSTERS), (CLUSTERS,), (CLUSTERS, HIDDEN, MEMBERS), (CLUSTERS, MEMBERS)]
 
 
 def _split(flat: np.ndarray) -> list[np.ndarray]:
@@ -74,45 +94,75 @@ def _split(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def _hidden(rows: np.ndarray, inward: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    total = bias + inward[0][rows[:, 0]]
+    total = inward[0][rows[:, 0]] + bias
     for place in range(1, 2 * REACH):
         total += inward[place][rows[:, place]]
     return np.tanh(total, out=total)
 
 
-def log_probabilities(model: Model, rows: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _by_class(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by own class, and where each cluster begins and ends in it."""
+    order = np.argsort(rows[:, -1], kind="stable")
+    return order, np.searchsorted(rows[order, -1], np.arange(CLUSTERS + 1) * MEMBERS)
+
+
+def log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """ln P(own class | context) of each row of windows()."""
+    inward, bias, upper, upper_level, lower, lower_level = _split(weights)
     out = np.empty(len(rows))
-    widest = float((np.abs(model.outward).sum(axis=0) + np.abs(model.level)).max())
     for at in range(0, len(rows), CHUNK):
-        part = rows[at:at + CHUNK].astype(np.int64)
-        logits = _hidden(part, model.inward, model.bias) @ model.outward + model.level
-        own = logits[np.arange(len(part)), part[:, -1]].astype(np.float64)
-        if widest > 80:  # beyond the range of single precision
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-            own -= top
-        out[at:at + CHUNK] = own - np.log(np.exp(logits, out=logits).sum(axis=1, dtype=np.float64))
+        part = rows[at:at + CHUNK]
+        order, cuts = _by_class(part)
+        part = part[order]
+        own = part[:, -1]
+        hidden = _hidden(part, inward, bias)
+        logs = np.log(np.maximum(_softmax(hidden @ upper + upper_level)[np.arange(len(part)), own // MEMBERS], 1e-30))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                p = _softmax(hidden[a:b] @ lower[k] + lower_level[k])
+                logs[a:b] += np.log(np.maximum(p[np.arange(b - a), own[a:b] % MEMBERS], 1e-30))
+        out[at + order] = logs
     return out
 
 
 def gradient(parts: list[np.ndarray], rows: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean negative log-likelihood of the rows, and its gradient by each part of the weights."""
-    inward, bias, outward, level = parts
+    inward, bias, upper, upper_level, lower, lower_level = parts
+    order, cuts = _by_class(rows)
+    rows = rows[order]
+    own, at = rows[:, -1], np.arange(len(rows))
     hidden = _hidden(rows, inward, bias)
-    logits = hidden @ outward + level
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    at = np.arange(len(rows))
-    loss = -float(np.log(np.maximum(p[at, rows[:, -1]], 1e-30)).mean())
-    p[at, rows[:, -1]] -= 1
-    p /= len(rows)
-    back = (p @ outward.T) * (1 - hidden * hidden)
+    p = _softmax(hidden @ upper + upper_level)
+    loss = -float(np.log(np.maximum(p[at, own // MEMBERS], 1e-30)).sum())
+    p[at, own // MEMBERS] -= 1
+    back = p @ upper.T
+    into_lower, into_level = np.zeros_like(lower), np.zeros_like(lower_level)
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            q = _softmax(hidden[a:b] @ lower[k] + lower_level[k])
+            mine = own[a:b] % MEMBERS
+            loss -= float(np.log(np.maximum(q[at[:b - a], mine], 1e-30)).sum())
+            q[at[:b - a], mine] -= 1
+            back[a:b] += q @ lower[k].T
+            into_lower[k], into_level[k] = hidden[a:b].T @ q, q.sum(axis=0)
+    back *= 1 - hidden * hidden
     into = np.zeros_like(inward)
     for place in range(2 * REACH):
-        np.add.at(into[place], rows[:, place], back)
-    return loss, [into, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
+        by = np.argsort(rows[:, place], kind="stable")
+        there = rows[by, place]
+        starts = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
+        into[place][there[starts]] = np.add.reduceat(back[by], starts)
+    slopes = [into, back.sum(axis=0), hidden.T @ p, p.sum(axis=0), into_lower, into_level]
+    for slope in slopes:
+        slope /= len(rows)
+    return loss / len(rows), slopes
 
 
 def train_on(flat: np.ndarray, blocks: Iterator[np.ndarray]) -> tuple[np.ndarray, int]:
@@ -122,24 +172,51 @@ def train_on(flat: np.ndarray, blocks: Iterator[np.ndarray]) -> tuple[np.ndarray
     first, second = np.zeros_like(flat), np.zeros_like(flat)
     seen = step = 0
     for rows in blocks:
-        rows = rows.astype(np.int64)[np.random.default_rng(len(rows)).permutation(len(rows))]
-        for at in range(0, len(rows), STEP_ROWS):
+        rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
+        at = 0
+        while at < len(rows):
+            size = min(STEP_ROWS << step // RAMP, MOST_ROWS)
             step += 1
-            _, slopes = gradient(parts, rows[at:at + STEP_ROWS])
-            slope = np.concatenate([x.ravel() for x in slopes])
+            slope = np.concatenate([x.ravel() for x in gradient(parts, rows[at:at + size])[1]])
+            at += size
             first += 0.1 * (slope - first)
             second += 0.001 * (slope * slope - second)
-            flat -= RATE / np.sqrt(step / 100 + 1) * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+            flat -= np.float32(RATE / np.sqrt(step / 100 + 1) / (1 - 0.9 ** step)) * first / (np.sqrt(second / np.float32(1 - 0.999 ** step)) + np.float32(1e-8))
         seen += len(rows)
     return flat, seen
 
 
-def frequent_words(docs: DataFrame) -> dict[bytes, int]:
-    """The commonest lower-cased words of all texts and their classes; ties by word.  The driver gets FREQUENT rows."""
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.explode(F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(FREQUENT).collect()
-    return {row[0].encode("utf-8", "surrogatepass"): i for i, row in enumerate(top)}
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, slot, n): every lower-cased word of all texts, counted in each task before the shuffle, with its slot_of()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts: Counter[bytes] = Counter()
+            for text in batch["text"]:
+                counts.update((text or "").encode("utf-8", "surrogatepass").lower().split())
+            words = list(counts)
+            yield pd.DataFrame({"word": pd.Series(words, dtype=object), "slot": np.fromiter(map(slot_of, words), np.int32, len(words)),
+                                "n": np.fromiter(counts.values(), np.int64, len(words))})
+
+    return docs.select("text").mapInPandas(run, "word binary, slot int, n long").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
+    """The commonest words and their classes, ties by word, and ln P(word | class) by code.
+
+    All words are counted over the whole corpus; the driver gets FREQUENT words
+    and the sum of each slot.  Every slot, seen or not, has one count more than
+    it holds, so a class's probabilities add up to one.
+    """
+    words = durable(count_words(docs))
+    top = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    rest = words.where(~F.col("word").isin(top)) if top else words
+    sums = rest.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(ENDINGS * SLOTS)
+    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    table = counts.reshape(ENDINGS, SLOTS) + 1
+    within = np.log(table / table.sum(axis=1, keepdims=True)).ravel()
+    return {w: i for i, w in enumerate(top)}, np.r_[np.zeros(FREQUENT), within].astype(np.float32)
 
 
 def masked(size: int, start: int, number: int, every: int) -> np.ndarray:
@@ -151,92 +228,99 @@ def masked(size: int, start: int, number: int, every: int) -> np.ndarray:
     return np.arange((start + number) % stride, size, stride) if size else np.zeros(0, np.int64)
 
 
-def examples(docs: DataFrame, classes: dict[bytes, int]) -> DataFrame:
-    """(ids, sizes, starts): blocks of texts by the int16 classes of their words, with each text's length and digest."""
+def phases(size: int, start: int, every: int) -> np.ndarray:
+    """When each position of a text is masked: in every round whose number leaves its first part modulo its second, as one number."""
+    stride = min(every, size)
+    return ((np.arange(size) - start) % stride + stride * 256).astype("<u2")
+
+
+def examples(docs: DataFrame, frequent: dict[bytes, int], every: int) -> DataFrame:
+    """(classes, phases): blocks of texts as the int16 classes of their words, REACH edges behind each, and the phases of all positions."""
 
-    def block(held: list[np.ndarray], starts: list[int]) -> pd.DataFrame:
-        sizes = np.array([len(ids) for ids in held], "<i8")
-        return pd.DataFrame({"ids": [np.concatenate(held).astype("<i2").tobytes()], "sizes": [sizes.tobytes()],
-                             "starts": [np.array(starts, "<i8").tobytes()]})
+    def block(held: list[np.ndarray], when: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"classes": [np.concatenate(held).astype("<i2").tobytes()], "phases": [np.concatenate(when).tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, held, starts, size = Classes(classes), [], [], 0
+        own, held, when, size = Codes(frequent), [], [], 0
+        edge, never = np.full(REACH, EDGE, "<i2"), np.zeros(REACH, "<u2")
         for batch in batches:
             for text in batch["text"]:
-                ids = own.of(text)
-                if not len(ids):
+                codes = own.of(text)
+                if not len(codes):
                     continue
-                held.append(ids)
-                starts.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-                size += len(ids)
+                held += [classes_of(codes), edge]
+                when += [phases(len(codes), zlib.crc32(text.encode("utf-8", "surrogatepass")), every), never]
+                size += len(codes)
                 if size >= BLOCK:
-                    yield block(held, starts)
-                    held, starts, size = [], [], 0
+                    yield block(held, when)
+                    held, when, size = [], [], 0
         if size:
-            yield block(held, starts)
+            yield block(held, when)
 
-    return docs.select("text").mapInPandas(run, "ids binary, sizes binary, starts binary")
+    return docs.select("text").mapInPandas(run, "classes binary, phases binary")
 
 
-def chosen(ids: bytes, sizes: bytes, starts: bytes, number: int, every: int) -> np.ndarray:
+def chosen(classes: bytes, when: bytes, number: int) -> np.ndarray:
     """The windows() of one stored block that round `number` masks."""
-    classes, at, out = np.frombuffer(ids, "<i2"), 0, []
-    for size, start in zip(np.frombuffer(sizes, "<i8").tolist(), np.frombuffer(starts, "<i8").tolist()):
-        out.append(windows(classes[at:at + size])[masked(size, start, number, every)])
-        at += size
-    return np.concatenate(out)
+    turn = np.array([number % s + s * 256 if s else 1 for s in range(256)], "<u2")
+    when = np.frombuffer(when, "<u2")
+    return windows(np.frombuffer(classes, "<i2"), np.flatnonzero(when == turn[when >> 8]))
 
 
 def fit(docs: DataFrame, rounds: int | None = None) -> Model:
-    """A model of (text, ...); NULL and empty texts give no example, and an empty table gives the untrained network.
+    """A model of (text, ...); NULL and empty texts give no example, repeated rows count each time, an empty table gives the untrained network.
 
     By default there are as many rounds as mask every position.  Each costs one
     pass over the classes of all words, which grow with the corpus, and one sum
-    per weight over all partitions.
+    per weight over at most TASKS tasks.
     """
     every = MASKED
-    classes = frequent_words(docs)
-    blocks = durable(examples(docs, classes))
+    frequent, within = vocabulary(docs)
+    blocks = durable(examples(docs, frequent, every)).coalesce(TASKS)
     size = sum(int(np.prod(s)) for s in _shapes())
     flat = (np.random.default_rng(0).standard_normal(size) * 0.1).astype(np.float32)
     for number in range(max(ROUNDS, every) if rounds is None else rounds):
         def run(batches: Iterator[pd.DataFrame], start: np.ndarray = flat, number: int = number) -> Iterator[pd.DataFrame]:
-            own = (chosen(*row, number, every) for batch in batches for row in zip(batch["ids"], batch["sizes"], batch["starts"]))
+            own = (chosen(*row, number) for batch in batches for row in zip(batch["classes"], batch["phases"]))
             trained, seen = train_on(start, own)
             if seen:
-                yield pd.DataFrame({"place": np.arange(len(trained), dtype=np.int32), "total": trained.astype(np.float64) * seen, "n": seen})
+                yield pd.DataFrame({"place": np.arange(len(trained), dtype=np.int32), "total": np.rint(trained.astype(float) * UNIT).astype(np.int64) * seen, "n": seen})
 
-        sums = blocks.mapInPandas(run, "place int, total double, n long").groupBy("place").agg(
-            (F.sum("total") / F.sum("n")).alias("mean")).orderBy("place").select("mean").toPandas()
+        sums = blocks.mapInPandas(run, "place int, total long, n long").groupBy("place").agg(
+            F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
         if len(sums):
-            flat = sums["mean"].to_numpy(np.float32)
-    return Model(classes, *_split(flat))
+            flat = flat.copy()
+            flat[sums["place"].to_numpy()] = sums["total"].to_numpy() / (sums["n"].to_numpy() * float(UNIT))
+    return Model(frequent, within, flat)
 
 
 def score(text: Column, model: Model) -> Column:
-    """Struct of n_tokens and score, the summed ln P of every word class given both sides; 0 and 0.0 for a text without words."""
+    """Struct of n_tokens and score, the summed ln P of every word given both sides; 0 and 0.0 for a text without words."""
 
     @F.pandas_udf("n_tokens long, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Classes(model.classes)
+        own = Codes(model.frequent)
+        edge = np.full(REACH, EDGE, np.int16)
         for texts in batches:
             sizes, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             held: list[tuple[int, np.ndarray]] = []
 
             def settle() -> None:
                 if held:
-                    logs = log_probabilities(model, np.concatenate([rows for _, rows in held]))
-                    starts = np.cumsum([0, *(len(rows) for _, rows in held[:-1])])
-                    for (i, rows), total in zip(held, np.add.reduceat(logs, starts)):
-                        sizes[i], sums[i] = len(rows), total
+                    classes = np.concatenate([x for _, codes in held for x in (classes_of(codes), edge)])
+                    codes = np.concatenate([codes for _, codes in held])
+                    logs = log_probabilities(model.weights, windows(classes, np.flatnonzero(classes != EDGE))) + model.within[codes]
+                    starts = np.cumsum([0, *(len(codes) for _, codes in held[:-1])])
+                    for (i, codes), total in zip(held, np.add.reduceat(logs, starts)):
+                        sizes[i], sums[i] = len(codes), total
                     held.clear()
 
             waiting = 0
             for i, text in enumerate(texts):
-                ids = own.of(text)
-                if len(ids):
-                    held.append((i, windows(ids)))
-                    waiting += len(ids)
+                codes = own.of(text)
+                if len(codes):
+                    held.append((i, codes))
+                    waiting += len(codes)
                 if waiting >= 4 * CHUNK:
                     settle()
                     waiting = 0
