@@ -53,6 +53,21 @@ def test_recall_over_shards(spark, monkeypatch):
     assert recall(got, brute(rows, 10, lambda i: i % 20 == 0)) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["offset", "huge", "tiny", "clusters", "far query"])
+def test_recall_wherever_vectors_lie(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann.build_index, "__defaults__", (400,))
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1200, 32))
+    x = {"offset": x + 1000, "huge": x * 1e20, "tiny": x * 1e-20, "far query": x,
+         "clusters": rng.standard_normal((12, 32))[np.arange(1200) % 12] + 1e-4 * x}[kind]
+    if kind == "far query":
+        x[0] = x[1] * 1e25
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 40 = 0").collect()
+    assert len(check_order(got, dict(rows))) == 30 and len(got) == 300
+    assert recall([r for r in got if r.query_id], brute(rows, 10, lambda i: i and i % 40 == 0)) >= 0.95
+
+
 def test_odd_rows(spark):
     same, rows = [1.0, 0.0, 2.0], [(i, [float(i), 1.0, -float(i % 3)]) for i in range(1, 40)]
     rows += [(100 + i, same) for i in range(30)] + [(7, rows[6][1])]

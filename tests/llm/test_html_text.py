@@ -94,3 +94,58 @@ HELD = {
 def test_whole_article(name):
     read = html_text.Page(HELD[name])
     assert read.text(read.best()[0]) == WHOLE
+
+
+LONG = " ".join(f"Reader number {i} thinks otherwise and says so at length." for i in range(14))
+ARTICLE = "A short report of what happened, in two sentences. It ends here, after some more words to be sure of it."
+
+
+def test_outer_parts_go_at_any_length():
+    comments = f"<div class=comments><p>{LONG}</p></div>"
+    for page in (
+        f"<body><div class=content><p>{ARTICLE}</p></div>{comments}</body>",
+        f"<body><article><p>{ARTICLE}</p>{comments}</article></body>",
+        f"<body><div class=post><p>{ARTICLE}</p></div><div class='cookie-notice'><p>{LONG}</p></div></body>",
+        f"<body><main><p>{ARTICLE}</p></main><div class=sidebar><p>{LONG}</p></div></body>",
+        f"<body><div class='sidebar-left'><p>{ARTICLE}</p>{comments}</div></body>",
+        f"<body><div class='sidebar-left'><p>{ARTICLE}</p></div><div class='newsletter'><p>{LONG}</p></div></body>",
+    ):
+        parsed = html_text.Page(page)
+        assert parsed.text(parsed.best()[0]) == ARTICLE, page
+    assert html_text.Page(f"<body>{comments}</body>").blocks == []
+
+
+def test_one_page_has_one_vote(spark):
+    """A page of another layout, longer than all others together, doesn't outvote its host."""
+    page = "<body><div class=body><p>This is the report, long enough to outweigh what stands below. Number {}.</p></div><div class=extra><p>Tiny.</p></div></body>"
+    rows = [(i, f"https://h.example/{i}", page.format(i)) for i in range(5)]
+    rows.append((9, "https://h.example/9", f"<body><div class=extra><p>{LONG * 20}</p></div></body>"))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith(f"Number {i}.") for i in range(5)) and got[9] == (LONG * 20).strip()
+
+
+def generated(rng, style):
+    """A page and its main text, known from the making."""
+    word = lambda n: " ".join(rng.choice(["river", "stone", "light", "of", "the", "and", "seldom", "carries", "&amp;", "wind"], n))
+    paragraphs = [word(rng.integers(12, 60)) + "." for _ in range(rng.integers(1, 8))]
+    holder = ("article", "div class='post-body'", "main id=content", "section class=story")[style % 4]
+    end = holder.split()[0]
+    outer = [
+        f"<nav><ul><li><a href=/>{word(3)}</a></li></ul></nav>", f"<div class='side-bar sidebar'><p>{word(rng.integers(5, 200))}</p></div>",
+        f"<div id=comments><div class=comment><p>{word(rng.integers(5, 400))}</p></div></div>", f"<footer><p>{word(20)}</p></footer>",
+        f"<div class=cookie-banner><p>{word(rng.integers(5, 300))}</p></div>", f"<form><p>{word(9)}</p></form>", f"<script>var x = '<p>{word(5)}</p>';</script>",
+        f"<div class=advert><p>{word(rng.integers(5, 100))}</p></div>", f"<header><h1>{word(4)}</h1></header>"]
+    rng.shuffle(outer)
+    inner = [f"<p>{p}</p>" for p in paragraphs]
+    inner.insert(int(rng.integers(0, len(inner) + 1)), outer.pop())
+    at = int(rng.integers(0, len(outer)))
+    body = "\n".join([*outer[:at], f"<{holder}>{''.join(inner)}</{end}>", *outer[at:]])
+    return f"<html><head><title>{word(3)}</title></head><body>{body}</body></html>", "\n".join(p.replace("&amp;", "&") for p in paragraphs)
+
+
+def test_generated_pages(spark):
+    import numpy as np
+    rng = np.random.default_rng(12)
+    made = [(i, f"https://host{i % 4}.example/p{i}", *generated(rng, i % 4)) for i in range(120)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string")).collect()}
+    assert [i for i, *_, text in made if got[i] != text] == []

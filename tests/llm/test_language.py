@@ -48,3 +48,17 @@ def test_no_labels(spark):
     df = spark.createDataFrame([(1, EN)], "doc_id long, text string")
     assert df.select(language.identify(F.col("text"), empty)).first()[0].lang_pred == "und"
     assert df.where("false").select(language.identify(F.col("text"), empty)).count() == 0
+
+
+def test_rare_language_is_not_lost_in_the_sample(spark):
+    rows = [(i, "the river and the stone of the wind", "en") for i in range(2000)] + [(9000 + i, "wąż żółty chrząszcz brzmi", "pl") for i in range(30)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=60)
+    assert model.languages == ("en", "pl")
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "the river and the stone", "en", "mine", 5), (2, "12 34", "en", "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, identified string, lang_pred long")
+    kept = language.keep_identified(docs, language.fit(docs))
+    assert kept.dtypes == docs.dtypes and [tuple(r) for r in kept.collect()] == rows[:1]
+    assert language.keep_identified(docs.limit(0), language.fit(docs)).count() == 0

@@ -26,10 +26,40 @@ DEGREE, WIDTH, ALPHA = 24, 48, 1.2
 BUILD_BEAM, SEARCH_BEAM, EXPAND = 64, 128, 4
 
 
+#: How far from a shard's vectors, in their own spread, a query may lie; farther ones are moved there along their direction.
+FAR = 1e4
+
+
+class Frame:
+    """The space in which a shard is searched: vectors are centred and scaled in double precision first.
+
+    Offsets and units of the vectors then neither drown their differences in
+    single precision nor leave its range.  Medians, as a vector of another order
+    of magnitude must not decide.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        self.unit = float(np.median(np.abs(vectors).max(axis=1)))
+        scaled = self._scaled(vectors)
+        self.centre = np.median(scaled, axis=0)
+        apart = np.abs(scaled - self.centre).max(axis=1)
+        self.spread = float(np.median(apart)) or float(apart.max()) or 1.0
+
+    def _scaled(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(vectors / self.unit, -1e100, 1e100)
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        out = (self._scaled(vectors) - self.centre) / self.spread
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out * np.minimum(1, FAR / np.maximum(length, 1))).astype(np.float32)
+
+
 def _distances(points: np.ndarray, targets: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Squared distances from each target to its own row of point ids."""
-    near = points[ids]
-    return np.maximum((near * near).sum(-1) - 2 * np.matmul(near, targets[:, :, None])[..., 0] + (targets * targets).sum(-1)[:, None], 0)
+    gap = points[ids]
+    gap -= targets[:, None]
+    return np.einsum("nmd,nmd->nm", gap, gap)
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, start: int, targets: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +101,7 @@ def robust_prune(points: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> np.nd
     rows = np.arange(len(ids))[:, None]
     ids, dist = ids[rows, order], dist[rows, order]
     near = points[np.maximum(ids, 0)]
+    near -= near[:, :1].copy()
     norms = (near * near).sum(-1)
     between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(near, near.transpose(0, 2, 1))
     alive = np.isfinite(dist)
@@ -105,9 +136,9 @@ def _take_in(points: np.ndarray, edges: np.ndarray, ends: np.ndarray, sources: n
 
 
 def build(points: np.ndarray) -> tuple[np.ndarray, int]:
-    """Out-edges of each point, -1 padded, and the entry point."""
+    """Out-edges of each vector, -1 padded, and the entry point."""
     n = len(points)
-    points = points.astype(np.float32)
+    points = Frame(points)(points)
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     edges = np.full((n, WIDTH), -1, np.int64)
     order = np.random.default_rng(n).permutation(n)
@@ -149,7 +180,7 @@ def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("class_id").reset_index(drop=True)
-        edges, entry = build(np.stack(group["embedding"].to_list()))
+        edges, entry = build(np.stack(group["embedding"].to_list()).astype(np.float64))
         return group.assign(place=np.arange(len(group)), links=[e[e >= 0].tolist() for e in edges], entry=entry)
 
     kind = rows.schema["embedding"].dataType.simpleString()
@@ -176,7 +207,8 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
             return empty
         graph = graph.sort_values("place")
         exact = np.stack(graph["embedding"].to_list()).astype(np.float64)
-        points = exact.astype(np.float32)
+        frame = Frame(exact)
+        points = frame(exact)
         edges = np.full((len(points), max(1, max(map(len, graph["links"])))), -1, np.int64)
         for i, links in enumerate(graph["links"]):
             edges[i, :len(links)] = links
@@ -184,7 +216,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM
         for at in range(0, len(asked), BATCH):
             part = asked.iloc[at:at + BATCH]
             targets = np.stack(part["embedding"].to_list()).astype(np.float64)
-            ids, _ = beam_search(points, edges, int(graph["entry"].iloc[0]), targets.astype(np.float32), max(beam, k))
+            ids, _ = beam_search(points, edges, int(graph["entry"].iloc[0]), frame(targets), max(beam, k))
             gap = np.sqrt(((exact[np.maximum(ids, 0)] - targets[:, None]) ** 2).sum(axis=-1))
             gap[ids < 0] = np.inf
             order = np.lexsort((names[np.maximum(ids, 0)], gap))[:, :k]

@@ -28,6 +28,8 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: Digests of a doc_id are taken modulo this, to choose rows of a sample; large enough for any number of rows.
+DIGESTS = 1 << 62
 #: Rows that Spark hands to a Python task at a time, where documents are whole texts.
 BATCH_ROWS = 1000
 

@@ -40,6 +40,8 @@ OUTER_WORDS = frozenset(
     " promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe share sharing social related"
     " recommended breadcrumb breadcrumbs comment comments disqus reply replies login signup search pagination pager toolbar"
     " copyright hidden navigation contentinfo complementary alert dialog".split())
+#: Outer words that layouts also give to what holds the whole article.
+LAYOUT_WORDS = frozenset("header sidebar aside social share related search hidden toolbar complementary".split())
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 #: Words before an outer word, and around it, that speak of an element which holds or lacks the outer part.
 HOLDING, LAST = frozenset("has have with no without".split()), frozenset("wrap wrapper container".split())
@@ -84,14 +86,16 @@ def _attributes(rest: str) -> tuple[str, list[str], bool, bool]:
 class Page:
     """Containers and text blocks of one page, without its outer parts.
 
-    What only its class, id or role calls an outer part is left out unless it
-    holds most of the running text.
+    What its class, id or role calls an outer part is left out at any length.
+    Only a page that would have no running text at all keeps such parts, of
+    those that are called by a word of layouts; comments, notices, adverts,
+    menus and forms are left out from every page.
     """
 
     def __init__(self, source: str | None):
         self.parent, self.path, self.weight = [-1], [""], [1]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
-        named: dict[int, bool] = {}  # nodes that a word calls outer parts, and whether they can be containers
+        named: dict[int, tuple[bool, bool]] = {}  # nodes that a word calls outer parts: may they be containers, is it a layout's word
         stack: list[tuple[str, int]] = []  # element, its container or -1 within outer parts
         pieces: list[str] = []
         linked = depth = 0
@@ -141,7 +145,7 @@ class Page:
                     node = -1
                 elif node >= 0 and (outer or name in HOLDERS):
                     if outer:
-                        named[len(self.path)] = name in HOLDERS
+                        named[len(self.path)] = name in HOLDERS, OUTER_WORDS.intersection(words) <= LAYOUT_WORDS
                     self.parent.append(node)
                     self.path.append(f"{self.path[node]}>{name}{classes}")
                     self.weight.append(6 if name in ("article", "main") else 3 if MAIN_WORDS.intersection(words) else 2)
@@ -161,16 +165,20 @@ class Page:
             total[self.parent[node]] += total[node]
         return total
 
-    def _leave_out(self, named: dict[int, bool]) -> None:
-        total = self._running()
-        place = list(range(len(self.path)))  # the container that a node's blocks belong to, or -1
-        for node in range(1, len(place)):
-            above = place[self.parent[node]]
-            if above < 0 or (node in named and 2 * total[node] <= total[0]):
-                place[node] = -1
-            elif not named.get(node, True):
-                place[node] = above
-        self.blocks = [(place[node], text, linked) for node, text, linked in self.blocks if place[node] >= 0]
+    def _leave_out(self, named: dict[int, tuple[bool, bool]]) -> None:
+        whole = self.blocks
+        for spare in (False, True):
+            place = list(range(len(self.path)))  # the container that a node's blocks belong to, or -1
+            for node in range(1, len(place)):
+                above = place[self.parent[node]]
+                holder, layout = named.get(node, (True, True))
+                if above < 0 or (node in named and not (spare and layout)):
+                    place[node] = -1
+                elif not holder:
+                    place[node] = above
+            self.blocks = [(place[node], text, linked) for node, text, linked in whole if place[node] >= 0]
+            if any(len(text) > 3 * linked for _, text, linked in self.blocks):
+                return
 
     def best(self) -> tuple[str, int]:
         """The path of the likeliest main container and its score: running text, halved at each step up.
@@ -230,12 +238,13 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Pages without a host vote together.  NULL and empty pages, and pages without
     running text, give an empty text.  Equal rows give equal results; of paths
-    with equal votes the last by name wins.  Votes are summed per host and path
-    before they meet the pages, whose hosts may be skewed.
+    with equally many pages the one of more text wins, then the last by name.
+    Every page has one vote, whatever its length; votes are counted per host and
+    path before they meet the pages, whose hosts may be skewed.
     """
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     votes = rows.select("host", nominate(F.col("html")).alias("v")).where("v.score > 0").groupBy("host", "v.path").agg(
-        F.sum("v.score").alias("score"))
-    winners = small(durable(votes.groupBy("host").agg(F.max(F.struct("score", "path")).alias("w")).select("host", "w.path")))
+        F.count("*").alias("pages"), F.sum("v.score").alias("score"))
+    winners = small(durable(votes.groupBy("host").agg(F.max(F.struct("pages", "score", "path")).alias("w")).select("host", "w.path")))
     read = join_skewed(rows, winners, "host", "left").select("page_id", "url", main_text(F.col("html"), F.col("path")).alias("text"))
     return read.withColumn("n_chars", F.length("text").cast("long"))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import DIGESTS, fresh
+
 #: Buckets of trigrams, trigrams per window, and EM rounds.
 BUCKETS, WINDOW, ROUNDS = 1 << 14, 32, 25
 #: The model is fitted on about this many labelled rows, chosen by a digest of the row's doc_id.
@@ -61,14 +63,16 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the languages of (doc_id, text, lang); rows without a text or a lang are no evidence.
 
+    It is fitted on about `sample_rows` rows, equally many of each language as
+    far as there are, chosen by a digest of the doc_id.
     Counts are summed in Spark; the driver gets one number per language and
     bucket.
     """
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    total = rows.count()
-    if total > sample_rows:
-        share = int(2**20 * sample_rows / total)
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < share)
+    totals = dict(rows.groupBy("lang").count().collect())
+    if sum(totals.values()) > sample_rows:
+        share = [F.lit(x) for lang, n in totals.items() for x in (lang, min(DIGESTS, DIGESTS * sample_rows // (n * len(totals))))]
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(DIGESTS)) < F.element_at(F.create_map(*share), F.col("lang")).cast("long"))
     sums = rows.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(sums["lang"].unique()))
     table = np.zeros((len(languages), BUCKETS))
@@ -163,7 +167,7 @@ def keep_identified(docs: DataFrame, model: Model, least_share: float = 0.5) ->
     Texts without letters go, and so do texts that no language dominates; a
     short text of one language stays however unsure its name is.
     """
-    own = "_identified"
+    (own,) = fresh(docs, "identified")
     kept = docs.withColumn(own, identify(F.col("text"), model)).where(
         (F.col(f"{own}.lang_pred") != UNKNOWN) & (F.get(F.col(f"{own}.shares"), F.lit(0)) >= least_share))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import durable
 
-#: Labelled rows that the lexicon and weights are fitted on, and terms it may learn.
-SAMPLE_ROWS, TERMS, CANDIDATES = 12_000, 2_000, 50_000
+from .common import DIGESTS
+
+#: Labelled rows that the lexicon and weights are fitted on.
+SAMPLE_ROWS = 12_000
 #: A term is learned from at least so many toxic texts, this log-odds ratio and this likelihood ratio (G squared).
 LEAST_TEXTS, LEAST_ODDS, LEAST_EVIDENCE = 5, 2.5, 24.0
 PREFIXES = (4, 5, 6, 7)
@@ -200,7 +202,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     rows = labelled.where("text is not null and toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     total = rows.count()
     if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < int(2**20 * sample_rows / total))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(DIGESTS)) < DIGESTS * sample_rows // total)
     words = "split(lower(text), '[^\\\\p{L}]+')"
     sketch = f"transform(array({words}), w -> array_min(transform(w, (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))))[0]"
     rows = durable(rows.withColumn("sketch", F.expr(sketch)).dropDuplicates(["sketch", "toxic"]).select("text", "toxic"))
@@ -208,7 +210,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     seeds = frozenset(INSULTS)
     a = _term_counts(rows.where("toxic = 1"), None).where((F.col("n") >= LEAST_TEXTS) | F.col("term").isin(*seeds))
-    hits = dict(a.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect())
+    hits = dict(a.collect())
     wanted = frozenset(hits) | seeds
     misses = dict(_term_counts(rows.where("toxic = 0"), wanted).collect())
     insults = {}
@@ -218,7 +220,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         odds = np.log((x + 0.5) / (toxic + 1)) - np.log((y + 0.5) / (clean + 1))
         learned = (x >= LEAST_TEXTS) & (odds >= LEAST_ODDS) & (_g_squared(x, y, toxic, clean) >= LEAST_EVIDENCE)
         seeded = np.array([w in seeds for w in names]) & ((x + y == 0) | (odds > 0))
-        for i in sorted(np.flatnonzero(learned), key=lambda i: (-odds[i] * x[i], names[i]))[:TERMS]:
+        for i in sorted(np.flatnonzero(learned), key=lambda i: (-odds[i] * x[i], names[i])):
             insults[names[i]] = float(odds[i])
         for i in np.flatnonzero(seeded):
             insults.setdefault(names[i], SEED_WEIGHT)
