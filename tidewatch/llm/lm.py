@@ -32,11 +32,11 @@ CLUSTERS = MEMBERS = 16
 #: Slots in which the words of an ending are counted, by a checksum; words of one slot share their probability.
 SLOTS = 16_384
 EDGE = CLASSES  # stands for what is before and after a text
-#: One position in so many is masked in a round, so as many rounds mask all; least number of rounds; examples of a task's first
+#: One position in so many is masked in a round, so as many rounds mask all (15 at most); least number of rounds; examples of a task's first
 #: steps and of its later ones, which are twice as many every RAMP steps; step size.
-MASKED, ROUNDS, STEP_ROWS, MOST_ROWS, RAMP, RATE = 32, 3, 256, 4096, 32, 0.01
+MASKED, ROUNDS, STEP_ROWS, MOST_ROWS, RAMP, RATE = 8, 3, 256, 4096, 8, 0.01
 #: Words in a stored block, positions scored at a time, words whose code a task remembers, and tasks that train.
-BLOCK, CHUNK, MEMO, TASKS = 65_536, 8192, 200_000, 4096
+BLOCK, CHUNK, MEMO, TASKS = 65_536, 8192, 400_000, 4096
 #: Averaged weights are summed as whole numbers of this part of one, so their order doesn't matter.
 UNIT = 1 << 16
 
@@ -94,19 +94,30 @@ def _split(flat: np.ndarray) -> list[np.ndarray]:
 
 
 def _hidden(rows: np.ndarray, inward: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    total = inward[0][rows[:, 0]] + bias
+    rows = rows.astype(np.intp)
+    total = inward[0].take(rows[:, 0], axis=0)
+    total += bias
     for place in range(1, 2 * REACH):
-        total += inward[place][rows[:, place]]
+        total += inward[place].take(rows[:, place], axis=0)
     return np.tanh(total, out=total)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax(hidden: np.ndarray, outward: np.ndarray, level: np.ndarray, wide: bool) -> np.ndarray:
+    """Probabilities of each row's classes; `wide` if their logits may leave the range of single precision."""
+    logits = hidden @ outward
+    logits += level
+    if wide:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    logits /= (logits @ np.ones((logits.shape[1], 1), logits.dtype))
     return logits
 
 
+def _wide(upper: np.ndarray, upper_level: np.ndarray, lower: np.ndarray, lower_level: np.ndarray) -> bool:
+    """Whether some logit may be beyond 60; hidden values are between -1 and 1."""
+    return max(float((np.abs(upper).sum(axis=0) + np.abs(upper_level)).max()), float((np.abs(lower).sum(axis=1) + np.abs(lower_level)).max())) > 60
+
+
 def _by_class(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of rows by own class, and where each cluster begins and ends in it."""
     order = np.argsort(rows[:, -1], kind="stable")
@@ -116,6 +127,7 @@ def _by_class(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """ln P(own class | context) of each row of windows()."""
     inward, bias, upper, upper_level, lower, lower_level = _split(weights)
+    wide = _wide(upper, upper_level, lower, lower_level)
     out = np.empty(len(rows))
     for at in range(0, len(rows), CHUNK):
         part = rows[at:at + CHUNK]
@@ -123,10 +135,10 @@ def log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
         part = part[order]
         own = part[:, -1]
         hidden = _hidden(part, inward, bias)
-        logs = np.log(np.maximum(_softmax(hidden @ upper + upper_level)[np.arange(len(part)), own // MEMBERS], 1e-30))
+        logs = np.log(np.maximum(_softmax(hidden, upper, upper_level, wide)[np.arange(len(part)), own // MEMBERS], 1e-30))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                p = _softmax(hidden[a:b] @ lower[k] + lower_level[k])
+                p = _softmax(hidden[a:b], lower[k], lower_level[k], wide)
                 logs[a:b] += np.log(np.maximum(p[np.arange(b - a), own[a:b] % MEMBERS], 1e-30))
         out[at + order] = logs
     return out
@@ -135,18 +147,19 @@ def log_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def gradient(parts: list[np.ndarray], rows: np.ndarray) -> tuple[float, list[np.ndarray]]:
     """Mean negative log-likelihood of the rows, and its gradient by each part of the weights."""
     inward, bias, upper, upper_level, lower, lower_level = parts
+    wide = _wide(upper, upper_level, lower, lower_level)
     order, cuts = _by_class(rows)
     rows = rows[order]
     own, at = rows[:, -1], np.arange(len(rows))
     hidden = _hidden(rows, inward, bias)
-    p = _softmax(hidden @ upper + upper_level)
+    p = _softmax(hidden, upper, upper_level, wide)
     loss = -float(np.log(np.maximum(p[at, own // MEMBERS], 1e-30)).sum())
     p[at, own // MEMBERS] -= 1
     back = p @ upper.T
     into_lower, into_level = np.zeros_like(lower), np.zeros_like(lower_level)
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if a < b:
-            q = _softmax(hidden[a:b] @ lower[k] + lower_level[k])
+            q = _softmax(hidden[a:b], lower[k], lower_level[k], wide)
             mine = own[a:b] % MEMBERS
             loss -= float(np.log(np.maximum(q[at[:b - a], mine], 1e-30)).sum())
             q[at[:b - a], mine] -= 1
@@ -158,7 +171,7 @@ def gradient(parts: list[np.ndarray], rows: np.ndarray) -> tuple[float, list[np.
         by = np.argsort(rows[:, place], kind="stable")
         there = rows[by, place]
         starts = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
-        into[place][there[starts]] = np.add.reduceat(back[by], starts)
+        into[place][there[starts]] = np.add.reduceat(back.take(by, axis=0), starts)
     slopes = [into, back.sum(axis=0), hidden.T @ p, p.sum(axis=0), into_lower, into_level]
     for slope in slopes:
         slope /= len(rows)
@@ -231,7 +244,7 @@ def masked(size: int, start: int, number: int, every: int) -> np.ndarray:
 def phases(size: int, start: int, every: int) -> np.ndarray:
     """When each position of a text is masked: in every round whose number leaves its first part modulo its second, as one number."""
     stride = min(every, size)
-    return ((np.arange(size) - start) % stride + stride * 256).astype("<u2")
+    return ((np.arange(size) - start) % stride + stride * 16).astype(np.uint8)
 
 
 def examples(docs: DataFrame, frequent: dict[bytes, int], every: int) -> DataFrame:
@@ -242,7 +255,7 @@ def examples(docs: DataFrame, frequent: dict[bytes, int], every: int) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, held, when, size = Codes(frequent), [], [], 0
-        edge, never = np.full(REACH, EDGE, "<i2"), np.zeros(REACH, "<u2")
+        edge, never = np.full(REACH, EDGE, "<i2"), np.zeros(REACH, np.uint8)
         for batch in batches:
             for text in batch["text"]:
                 codes = own.of(text)
@@ -262,9 +275,9 @@ def examples(docs: DataFrame, frequent: dict[bytes, int], every: int) -> DataFra
 
 def chosen(classes: bytes, when: bytes, number: int) -> np.ndarray:
     """The windows() of one stored block that round `number` masks."""
-    turn = np.array([number % s + s * 256 if s else 1 for s in range(256)], "<u2")
-    when = np.frombuffer(when, "<u2")
-    return windows(np.frombuffer(classes, "<i2"), np.flatnonzero(when == turn[when >> 8]))
+    turn = np.array([number % s + s * 16 if s else 1 for s in range(16)], np.uint8)
+    when = np.frombuffer(when, np.uint8)
+    return windows(np.frombuffer(classes, "<i2"), np.flatnonzero(when == turn[when >> 4]))
 
 
 def fit(docs: DataFrame, rounds: int | None = None) -> Model:
