@@ -173,3 +173,47 @@ def test_known_urls_and_first_seen(spark):
     stored = spark.createDataFrame([("b",), ("b",)], "url string")
     got = dedup.drop_known_urls(batch, stored, ["id"])
     assert sorted(r["id"] for r in got.collect()) == [1, 6]
+
+
+def templated(spark, n, own, seed=3):
+    """Signatures that agree with one template in all but `own` random places each."""
+    rng = random.Random(seed)
+    base = [rng.randrange(1 << 30) for _ in range(128)]
+    rows = []
+    for i in range(n):
+        sig = list(base)
+        for j in rng.sample(range(128), own):
+            sig[j] = rng.randrange(1 << 30)
+        rows.append((i, sig))
+    return rows, spark.createDataFrame(rows, "id long, minhash_signature array<long>").repartition(4)
+
+
+@pytest.mark.parametrize("n", [400, 1600])
+def test_template_below_the_threshold_lists_no_pairs(spark, monkeypatch, n):
+    """All items share crowded buckets; candidates grow with the items, not with their pairs."""
+    monkeypatch.setattr(dedup, "PAIR_BUCKET", 30)
+    seen = []
+    verified = dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    monkeypatch.setattr(dedup, "_crowded_pairs", lambda *a: pytest.fail("compared block by block"))
+    _, items = templated(spark, n, 24)
+    assert dedup.greedy_verdicts(items, []).filter("kept").count() == n
+    assert sum(seen) <= 60 * n
+
+
+@pytest.mark.parametrize("own", [6, 10, 14, 19])
+def test_rare_places_lose_no_pair(spark, monkeypatch, own):
+    monkeypatch.setattr(dedup, "PAIR_BUCKET", 5)
+    monkeypatch.setattr(dedup, "LEADER_ROUNDS", 0)
+    rows, items = templated(spark, 120, own)
+    got = {r["id"] for r in dedup.greedy_verdicts(items, []).filter("kept").collect()}
+    assert got == greedy(rows)
+
+
+def test_a_long_chain_is_walked(spark, monkeypatch):
+    """Each item resembles the one before only: every second one stays, after any number of rounds."""
+    monkeypatch.setattr(dedup, "SETTLE_ROUNDS", 1)
+    n = 20_000
+    edges = spark.range(1, n).select(F.struct(F.col("id").alias("item")).alias("later"), F.struct((F.col("id") - 1).alias("item")).alias("earlier"))
+    dropped = dedup._settle(edges)
+    assert dropped.count() == n // 2 and dropped.filter("rank.item % 2 = 0 or copy_of.item <> rank.item - 1").isEmpty()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     by an aggregate, so adaptive execution sees two plain exchanges and may
     split a hot partition of either.
     """
-    twin = "_twin"
+    twin = f"twin_{uuid.uuid4().hex[:8]}"
     return left.withColumn(twin, F.xxhash64(key)).join(right.withColumn(twin, F.xxhash64(key)), [key, twin], how).drop(twin)
 
 

@@ -8,6 +8,7 @@ pass and without comparing all pairs of a crowded bucket.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import minhash as mh
 from ..functions import times, vocab
 from ..session import durable
-from .components import components
+from .components import components, join_skewed
 
-# Buckets up to this size may list their pairs; larger ones go through leaders, then through blocks.
+# Buckets up to this size may list their pairs; larger ones go through leaders, then through rare places, then through blocks.
 PAIR_BUCKET = 200
 # Leader rounds: each dissolves groups of copies, whatever their size.
 LEADER_ROUNDS = 2
@@ -121,6 +122,22 @@ def _verified(pairs: DataFrame, sigs: DataFrame, need: int) -> DataFrame:
     )
 
 
+def _rare_keys(members: DataFrame, need: int, num_perm: int) -> DataFrame:
+    """(key, rank): the rarest places of each signature that it has to share with any other of the required similarity.
+
+    Signatures that agree in `need` of `num_perm` places share one of each
+    other's num_perm - need + 1 rarest (place, value) pairs, in any order that
+    holds for all.  Pairs that only one signature has take up places of that
+    number but are no keys, so items of one template that differ by more than
+    the similarity allows meet in few keys or none.
+    """
+    elements = members.select("rank", F.posexplode("sig").alias("place", "value")).select("rank", F.xxhash64("place", "value").alias("key"))
+    counts = elements.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    held = join_skewed(elements, counts, "key").groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("held"))
+    wanted = F.greatest(F.lit(0), F.size("held") - (need - 1))
+    return held.select(F.explode(F.slice("held", F.lit(1), wanted)).alias("h"), "rank").select("h.key", "rank")
+
+
 def _crowded_pairs(rows: DataFrame, sizes: DataFrame, sigs: DataFrame, need: int) -> DataFrame:
     """Pairs (later, earlier) within crowded buckets whose signatures reach the threshold.
 
@@ -157,21 +174,28 @@ def _crowded_pairs(rows: DataFrame, sizes: DataFrame, sigs: DataFrame, need: int
 
 
 def _walked(edges: DataFrame) -> DataFrame:
-    """The rule on the edges of each connected component, in arrival order: dropped items and the first kept item they copy."""
+    """The rule on the edges of each connected component, in arrival order: dropped items and the first kept item they copy.
+
+    Each component's edges stream through a task, sorted by Spark, so a chain or
+    a template of any size needs a byte an item there and no more.
+    """
     numbered = edges.select(F.xxhash64("later").alias("a"), F.xxhash64("earlier").alias("b"), "later", "earlier")
     roots = components(numbered.select("a", "b"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        # numbers in arrival order stand for the items
-        before: dict[int, list[int]] = {}
-        for later, earlier in zip(pdf["l"], pdf["e"]):
-            before.setdefault(later, []).append(earlier)
-        copies: dict[int, int] = {}
-        for item in sorted(before):
-            kept = [e for e in before[item] if e not in copies]
-            if kept:
-                copies[item] = min(kept)
-        return pd.DataFrame({"l": list(copies), "e": list(copies.values())}, dtype="int64")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # edges come by component, then in arrival order, whose numbers stand for the items; a byte an item is all that is held
+        root, dropped = None, bytearray()
+        for batch in batches:
+            out = []
+            for r, later, earlier in zip(batch["root"].tolist(), batch["l"].tolist(), batch["e"].tolist()):
+                if r != root:
+                    root, dropped = r, bytearray()
+                if later >= len(dropped):
+                    dropped.extend(bytes(later - len(dropped) + 1024))
+                if not dropped[later] and not dropped[earlier]:
+                    dropped[later] = 1
+                    out.append((r, later, earlier))
+            yield pd.DataFrame(out, columns=["root", "l", "e"], dtype="int64")
 
     placed = durable(numbered.join(roots, numbered["a"] == roots["node"]).select("root", "later", "earlier"))
     items = placed.select("root", F.col("later").alias("item")).union(placed.select("root", "earlier")).distinct()
@@ -179,8 +203,7 @@ def _walked(edges: DataFrame) -> DataFrame:
     later = order.select("root", F.col("item").alias("later"), F.col("n").alias("l"))
     earlier = order.select("root", F.col("item").alias("earlier"), F.col("n").alias("e"))
     walks = placed.join(later, ["root", "later"]).join(earlier, ["root", "earlier"]).select("root", "l", "e")
-    found = walks.groupBy("root").applyInPandas(
-        lambda pdf: walk(pdf).assign(root=pdf["root"].iloc[0])[["root", "l", "e"]], "root bigint, l bigint, e bigint")
+    found = walks.repartition("root").sortWithinPartitions("root", "l", "e").mapInPandas(walk, "root bigint, l bigint, e bigint")
     return found.join(later, ["root", "l"]).join(earlier, ["root", "e"]).select(F.col("later").alias("rank"), F.col("earlier").alias("copy_of"))
 
 
@@ -224,9 +247,11 @@ def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab
        open item only; an item that leads all its buckets is kept.  This is
        linear per round and dissolves groups of copies of any size;
     3. after a fixed number of such rounds, small buckets list their pairs, and
-       crowded ones are compared block by block, which loses no pair;
+       members of crowded ones meet where they share one of their rarest places,
+       which loses no pair; only where so many share a rare place are they
+       compared block by block;
     4. the graph of qualifying pairs is settled in a fixed number of rounds and
-       one walk over what is left of each component.
+       one streaming walk over what is left of each component.
     """
     need = mh.needed_matches(threshold, num_perm)
     arrivals = items.select(
@@ -263,16 +288,23 @@ def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab
             open_rows.join(leaders, "rank", "left_anti").join(losers.select("rank"), "rank", "left_anti")
         )
 
-    # pairs of small buckets are bounded by PAIR_BUCKET per row; crowded ones give only pairs that qualify
-    sizes = durable(open_rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    lone = open_rows.select("key", "rank").join(sizes.filter(F.col("n") <= PAIR_BUCKET).select("key"), "key", "left_semi")
-    a = lone.select("key", F.col("rank").alias("later"))
-    b = lone.select("key", F.col("rank").alias("earlier"))
-    pairs = a.join(b, "key").filter(F.col("later") > F.col("earlier")).select("later", "earlier")
+    # pairs of small buckets are bounded by PAIR_BUCKET per row; members of crowded ones meet by their rarest places instead
+    def meetings(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        sizes = durable(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        lone = rows.join(sizes.filter(F.col("n") <= PAIR_BUCKET).select("key"), "key", "left_semi")
+        a = lone.select("key", F.col("rank").alias("later"))
+        b = lone.select("key", F.col("rank").alias("earlier"))
+        crowded = sizes.filter(F.col("n") > PAIR_BUCKET)
+        return a.join(b, "key").filter(F.col("later") > F.col("earlier")).select("later", "earlier"), crowded, rows
+
+    pairs, crowded, rows = meetings(open_rows.select("key", "rank"))
     edges = _verified(pairs, sigs, need)
-    crowded = sizes.filter(F.col("n") > PAIR_BUCKET)
     if not crowded.isEmpty():
-        edges = edges.unionByName(_crowded_pairs(open_rows.select("key", "rank"), crowded, sigs, need)).distinct()
+        members = rows.join(crowded, "key", "left_semi").select("rank").distinct()
+        pairs, crowded, rows = meetings(durable(_rare_keys(sigs.join(members, "rank", "left_semi"), need, num_perm)))
+        edges = edges.unionByName(_verified(pairs, sigs, need)).distinct()
+        if not crowded.isEmpty():
+            edges = edges.unionByName(_crowded_pairs(rows, crowded, sigs, need)).distinct()
     edges = durable(edges)
     settled = _settle(edges)
     dropped = settled if dropped is None else dropped.unionByName(settled)

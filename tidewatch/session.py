@@ -53,5 +53,6 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Let adaptive execution deal the rows of unevenly or rarely split input over all cores."""
-    return df.hint("rebalance")
+    """A table as it is, or dealt over all cores if it has fewer input splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
