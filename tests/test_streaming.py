@@ -104,3 +104,48 @@ def test_board_equals_the_batch(spark, folder, tmp_path):
     store_rows = spark.read.parquet(facts).count()
     store.write_table(spark.read.parquet(facts).filter("batch = 0").drop("batch").checkpoint(), facts, 0)
     assert spark.read.parquet(facts).count() == store_rows
+
+
+def test_sums_of_batches_give_the_same_board(spark, folder):
+    """Whatever the time of the board, and with facts on both sides of every window's edge."""
+    batch = spark.read.parquet(folder).withColumn("dt", F.to_date("timestamp"))
+    sums = None
+    for part in range(4):
+        new = fx.hour_sums(batch.filter(F.col("mention_id") % 4 == part)).withColumn("dt", F.to_date("hour"))
+        sums = new if sums is None else sums.unionByName(new)
+    tickers = spark.createDataFrame([("A", "Energy", "Alpha"), ("B", None, "Beta"), ("C", "Energy", "C")],
+                                    "symbol string, sector string, company_name string")
+    for as_of in (START + dt.timedelta(hours=95, minutes=17, microseconds=5), START + dt.timedelta(hours=70), START + dt.timedelta(days=8, minutes=59)):
+        want = sorted(map(tuple, fx.ticker_metrics(batch, as_of, 24).collect()))
+        assert sorted(map(tuple, fx.metrics_from_sums(sums, batch, as_of, 24).collect())) == want
+        got = trending.trending_from_sums(sums, batch, tickers, as_of)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, trending.trending(batch, tickers, as_of).collect()))
+
+
+def test_board_reads_facts_of_edge_hours_only(spark, folder, capfd):
+    batch = spark.read.parquet(folder)
+    sums = fx.hour_sums(batch).checkpoint()
+    fx.metrics_from_sums(sums, batch, START + dt.timedelta(days=3, minutes=5), 24).explain("formatted")
+    plan = capfd.readouterr().out
+    assert plan.count("Scan parquet") == 2 and "PushedFilters: [Or(" in plan.replace("IsNotNull(timestamp), ", "")
+
+
+def test_update_log_stays_small(spark, tmp_path):
+    """Fifty micro-batches leave a snapshot and the changes since; values equal the batch."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(i, "ABC"[i % 3], i, START + dt.timedelta(minutes=7 * i), "gdelt", 0.5, 1.0, "u") for i in range(100)]
+    for n in range(50):
+        spark.createDataFrame(rows[2 * n:2 * n + 2], FACT).coalesce(1).write.mode("append").parquet(path)
+    batch = spark.read.parquet(path)
+    feed = jobs.stream_files(spark, path, batch.schema, files_per_trigger=1)
+    keys = ["ticker", "hour_bucket"]
+    finish(jobs.write_updates(jobs.stream_hourly(feed), out, str(tmp_path / "cp"), keys=keys))
+    updates = spark.read.parquet(out)
+    assert updates.select("batch").distinct().count() <= jobs.COMPACT_EVERY and len(updates.inputFiles()) <= 10 * jobs.COMPACT_EVERY
+    want = fx.hourly_mentions(batch, START + dt.timedelta(days=4), 10_000).select("ticker", "hour_bucket", "mentions")
+    hourly = jobs.latest_update(updates, keys, ["mentions"])
+    assert sorted(map(tuple, hourly.collect())) == sorted(map(tuple, want.collect()))
+    ends = F.explode(F.sequence(F.lit(1), F.lit(24)))
+    slide = batch.select("ticker", F.date_trunc("hour", "timestamp").alias("h"), ends.alias("k")).groupBy(
+        "ticker", F.timestamp_add("HOUR", F.col("k"), F.col("h")).alias("window_end")).count()
+    assert sorted(map(tuple, jobs.rolled_up(hourly).collect())) == sorted(map(tuple, slide.collect()))

@@ -8,11 +8,12 @@ third of all mentions costs no more than any other.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scores, vocab
+from ..functions import scores, times, vocab
 from .filters import after, counted, exclude_sources, filter_sector, since
 
 
@@ -92,19 +93,25 @@ def window_sentiment(facts: DataFrame, mentioned: DataFrame, as_of: dt.datetime,
 
 def ticker_metrics(facts: DataFrame, as_of: dt.datetime, hours: int) -> DataFrame:
     """Every figure of a board, one row per ticker mentioned in the baseline period."""
+    return _metrics(_hourly(facts, as_of, hours))
+
+
+def _hourly(facts: DataFrame, as_of: dt.datetime, hours: int) -> DataFrame:
     horizon = max(hours, vocab.BASELINE_HOURS)
     base = since(facts, as_of, horizon)
     in_hour = after(base, as_of, dt.timedelta(hours=1))
     in_window = after(base, as_of, dt.timedelta(hours=hours))
     in_baseline = after(base, as_of, dt.timedelta(hours=vocab.BASELINE_HOURS))
     sw, w = _units()
-    hourly = base.groupBy("ticker", F.date_trunc("hour", "timestamp").alias("hour_bucket")).agg(
+    return base.groupBy("ticker", F.date_trunc("hour", "timestamp").alias("hour_bucket")).agg(
         F.count_if(counted() & in_baseline).alias("n"),
         F.count_if(counted() & in_hour).alias("m1h"),
         F.count_if(counted() & in_window).alias("mw"),
         F.sum(F.when(in_window, sw)).alias("sw"),
         F.sum(F.when(in_window, w)).alias("w"),
     )
+def _metrics(hourly: DataFrame) -> DataFrame:
+    """Figures per ticker from rows per ticker and hour: n counted in the baseline, m1h and mw in the windows, sentiment and weight units."""
     sums = hourly.groupBy("ticker").agg(
         F.count_if(F.col("n") > 0).alias("hours"),
         F.sum("n").alias("s1"),
@@ -119,6 +126,42 @@ def ticker_metrics(facts: DataFrame, as_of: dt.datetime, hours: int) -> DataFram
     )
 
 
+def hour_sums(facts: DataFrame) -> DataFrame:
+    """Mergeable sums per ticker and clock hour: counted mentions, weighted sentiment and weight units, newest time.
+
+    Whole numbers, so sums of several batches merge exactly in any order.
+    """
+    sw, w = _units()
+    return facts.groupBy("ticker", F.date_trunc("hour", "timestamp").alias("hour")).agg(
+        F.count_if(counted()).alias("n"), F.sum(sw).alias("sw"), F.sum(w).alias("w"), F.max("timestamp").alias("latest"))
+
+
+def _edges(as_of: dt.datetime, hours: int) -> list[dt.datetime]:
+    """The clock hours in which a window of a board begins."""
+    starts = (as_of - dt.timedelta(hours=h) for h in (1, hours, max(hours, vocab.BASELINE_HOURS), vocab.BASELINE_HOURS))
+    return sorted({s.replace(minute=0, second=0, microsecond=0) for s in starts})
+
+
+def metrics_from_sums(sums: DataFrame, facts: DataFrame, as_of: dt.datetime, hours: int) -> DataFrame:
+    """ticker_metrics() from hour_sums(): mentions themselves are read of the few hours only in which a window begins."""
+    edges = _edges(as_of, hours)
+    span = dt.timedelta(hours=1)
+    at = lambda t: times.literal_like(facts, "timestamp", t)
+    part = facts.filter(functools.reduce(Column.__or__, ((F.col("timestamp") >= at(e)) & (F.col("timestamp") < at(e + span)) for e in edges)))
+    if "dt" in facts.columns:
+        part = part.filter(F.col("dt").isin([times.utc(e).date() for e in edges]))
+    hour = lambda t: times.literal_like(sums, "hour", t)
+    whole = sums.filter((F.col("hour") >= hour(edges[0])) & ~F.col("hour").isin(*(hour(e) for e in edges)))
+    if "dt" in sums.columns:
+        whole = whole.filter(F.col("dt") >= F.lit(times.utc(edges[0]).date()))
+    inside = lambda h: F.col("hour") >= hour(as_of - dt.timedelta(hours=h))
+    merged = whole.groupBy("ticker", "hour").agg(F.sum("n").alias("c"), F.sum("sw").alias("sw"), F.sum("w").alias("w")).select(
+        "ticker", F.col("hour").alias("hour_bucket"), F.when(inside(vocab.BASELINE_HOURS), F.col("c")).otherwise(0).alias("n"),
+        F.when(inside(1), F.col("c")).otherwise(0).alias("m1h"), F.when(inside(hours), F.col("c")).otherwise(0).alias("mw"),
+        F.when(inside(hours), F.col("sw")).alias("sw"), F.when(inside(hours), F.col("w")).alias("w"))
+    return _metrics(merged.unionByName(_hourly(part, as_of, hours)))
+
+
 def _recent_counts(facts: DataFrame, as_of: dt.datetime, hours: int) -> DataFrame:
     """1 h count, window count and plain mean sentiment per ticker, all given sources."""
     base = since(facts, as_of, hours)

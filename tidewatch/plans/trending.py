@@ -23,7 +23,11 @@ def rank_tickers(facts: DataFrame, tickers: DataFrame, as_of: dt.datetime, hours
     wanted = filter_sector(tickers, sector)
     if sector:
         facts = facts.join(wanted.select(F.col("symbol").alias("ticker")), "ticker", "left_semi")
-    metrics = fx.ticker_metrics(facts, as_of, hours).filter("mentions > 0")
+    return _ranked(fx.ticker_metrics(facts, as_of, hours), wanted)
+
+
+def _ranked(metrics: DataFrame, wanted: DataFrame) -> DataFrame:
+    metrics = metrics.filter("mentions > 0")
     z = scores.z_score("mentions_1h", "mu", "sigma")
     named = metrics.join(wanted, F.col("ticker") == F.col("symbol")).select(
         "symbol",
@@ -57,6 +61,11 @@ def trending(facts: DataFrame, tickers: DataFrame, as_of: dt.datetime) -> DataFr
     return boards(rank_tickers(facts, tickers, as_of))
 
 
+def trending_from_sums(sums: DataFrame, facts: DataFrame, tickers: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Boards over the last 24 hours from the sums per hour that a stream keeps; equal to trending() of all facts."""
+    return boards(_ranked(fx.metrics_from_sums(sums, facts, as_of, 24), tickers))
+
+
 def trending_window(facts: DataFrame, tickers: DataFrame, window: str, as_of: dt.datetime,
                     sector: str | None = None, n: int = vocab.BOARD_SIZE) -> DataFrame:
     """Top tickers of any window, globally or for one sector or sector alias."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +87,16 @@ def write_feed(items: DataFrame, store: str, batch: int = 0, tickers: DataFrame
     write_table(mentions, f"{store}/mentions", batch)
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> None:
+    """Delete the folders `column=value` of a table whose value is gone."""
+    fs, root = file_system(spark, path)
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        name = entry.getPath().getName()
+        value = name.removeprefix(f"{column}=")
+        if value != name and not value.startswith("__") and gone(value):
+            fs.delete(entry.getPath(), True)
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     """Complete versions of a versioned folder, oldest first."""
     fs, root = file_system(spark, path)

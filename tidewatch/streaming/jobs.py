@@ -24,6 +24,8 @@ from ..session import durable
 from ..sources import store
 
 LATENESS = "7 days"
+# A table of updates is rewritten as its current values after so many micro-batches.
+COMPACT_EVERY = 10
 
 
 def stream_files(spark: SparkSession, path: str, schema: T.StructType,
@@ -62,7 +64,7 @@ def stream_hourly(feed: DataFrame) -> DataFrame:
 
 
 def stream_sliding(feed: DataFrame, size: str = "24 hours", slide: str = "1 hour") -> DataFrame:
-    """Counted mentions per ticker over sliding windows."""
+    """Counted mentions per ticker over sliding windows, each mention in all of its windows; see rolled_up for whole hours."""
     return (
         exclude_sources(with_lateness(feed))
         .groupBy(F.window("timestamp", size, slide), "ticker").agg(F.count("*").alias("mentions"))
@@ -70,6 +72,17 @@ def stream_sliding(feed: DataFrame, size: str = "24 hours", slide: str = "1 hour
     )
 
 
+def rolled_up(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """Counts over windows of whole hours, one ending each hour, from the counts of stream_hourly.
+
+    Only the sums per ticker and hour are spread over the windows that hold
+    them, so no mention is copied.
+    """
+    ends = F.transform(F.sequence(F.lit(1), F.lit(hours)), lambda k: F.timestamp_add("HOUR", k, F.col("hour_bucket")))
+    return hourly.select("ticker", F.explode(ends).alias("window_end"), "mentions").groupBy("ticker", "window_end").agg(
+        F.sum("mentions").alias("mentions"))
+
+
 def stream_url_dedupe(feed: DataFrame) -> DataFrame:
     """First arrival of each URL within the lateness; see stream_new_urls for the rule over all time."""
     return with_lateness(feed).dropDuplicatesWithinWatermark(["url"])
@@ -100,14 +113,28 @@ def latest_update(updates: DataFrame, keys: list[str], values: list[str]) -> Dat
     ).select(*keys, "_v.*")
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    """Write every micro-batch to its own partition; a replay overwrites it."""
+def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update",
+                  keys: list[str] | None = None, every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Write every micro-batch to its own partition; a replay overwrites it.
+
+    With `keys`, each `every`-th batch also takes in the current value per key
+    of all earlier partitions, which then go: a snapshot and the changes since.
+    latest_update reads both alike.  A replayed snapshot includes what its first
+    attempt wrote, so nothing is lost if the attempt ended between the two.
+    """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
-        )
+        spark = batch.sparkSession
+        rows = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        compact = keys and batch_id and batch_id % every == 0
+        if compact:
+            before = store.load_table(spark, path, rows.schema)
+            values = [c for c in batch.columns if c not in keys]
+            merged = latest_update(before.unionByName(rows), keys, values)
+            rows = durable(merged.select(*batch.columns).withColumn("batch", F.lit(batch_id).cast("bigint")))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        if compact:
+            store.drop_partitions(spark, path, "batch", lambda name: int(name) < batch_id)
 
     return (
         stream.writeStream.outputMode(mode).foreachBatch(save)
@@ -153,19 +180,28 @@ def stream_board(feed: DataFrame, tickers: DataFrame, store_path: str, board_pat
                  trigger: dict | None = None, now: Callable[[], dt.datetime] | None = None) -> StreamingQuery:
     """Add each micro-batch of mention facts to the store and rewrite the boards.
 
-    Boards are dated by `now`, or by the newest stored publication time; the
-    ranking reads the dates of its seven days only.  Pass
-    `trigger={"processingTime": "1 minute"}` for the minute refresh.
+    Beside the facts the store keeps sums per ticker and hour, which a batch
+    adds to.  Boards are dated by `now`, or by the newest stored publication
+    time, and read the sums of their seven days; of the facts they read the
+    hours only in which a window begins.  Sums that no window can reach go.
+    Pass `trigger={"processingTime": "1 minute"}` for the minute refresh.
     """
+    sums_path = f"{store_path.rstrip('/')}-hours"
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        dated = batch.withColumn("dt", F.to_date("timestamp"))
+        spark = batch.sparkSession
+        dated = durable(batch.withColumn("dt", F.to_date("timestamp")))
         store.write_table(dated, store_path, batch_id)
-        spec = T.StructType([*dated.schema.fields, T.StructField("batch", T.LongType())])
-        facts = store.load_table(batch.sparkSession, store_path, spec)
-        as_of = now() if now else times.latest_timestamp(facts)
+        new = fx.hour_sums(dated).withColumn("dt", F.to_date("hour"))
+        store.write_table(new, sums_path, batch_id)
+        numbered = T.StructField("batch", T.LongType())
+        sums = store.load_table(spark, sums_path, T.StructType([*new.schema.fields, numbered]))
+        as_of = now() if now else times.latest_timestamp(sums, "latest")
         if as_of is not None:
-            store.write_leaderboard(trending.trending(facts, tickers, as_of), board_path)
+            facts = store.load_table(spark, store_path, T.StructType([*dated.schema.fields, numbered]))
+            store.write_leaderboard(trending.trending_from_sums(sums, facts, tickers, as_of), board_path)
+            first = (times.utc(as_of) - dt.timedelta(hours=vocab.BASELINE_HOURS + 24)).date().isoformat()
+            store.drop_partitions(spark, sums_path, "dt", lambda name: name < first)
 
     return (
         feed.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)

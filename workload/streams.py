@@ -45,24 +45,25 @@ def mention_stream(v: Views, order: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     return rows.select("m.*", "article_id", "timestamp", "source", "source_weight", "url").join(known, "ticker", "left_semi")
 
 
-def run_updates(v: Views, stream: DataFrame, mode: str = "update") -> DataFrame:
+def run_updates(v: Views, stream: DataFrame, mode: str = "update", keys: list[str] | None = None) -> DataFrame:
     out, checkpoint = session.scratch_path(v.spark, "stream"), session.scratch_path(v.spark, "offsets")
-    finish(jobs.write_updates(stream, out, checkpoint, mode))
+    finish(jobs.write_updates(stream, out, checkpoint, mode, keys))
     spec = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     return store.load_table(v.spark, out, spec)
 
 
 @query("stream_hourly", f"select ticker, date_trunc('hour',ts) hour_bucket, count(*) mentions from facts where {COUNTED} group by 1,2")
 def stream_hourly(v: Views):
-    updates = run_updates(v, jobs.stream_hourly(mention_stream(v)))
+    updates = run_updates(v, jobs.stream_hourly(mention_stream(v)), keys=["ticker", "hour_bucket"])
     return jobs.latest_update(updates, ["ticker", "hour_bucket"], ["mentions"]).select("ticker", ntz("hour_bucket"), "mentions")
 
 
 @query("stream_sliding", f"""select ticker, date_trunc('hour',ts)+to_hours(k) window_end, count(*) mentions
   from facts, range(1,25) r(k) where {COUNTED} group by 1,2""")
 def stream_sliding(v: Views):
-    updates = run_updates(v, jobs.stream_sliding(mention_stream(v)))
-    return jobs.latest_update(updates, ["ticker", "window_end"], ["mentions"]).select("ticker", ntz("window_end"), "mentions")
+    updates = run_updates(v, jobs.stream_hourly(mention_stream(v)), keys=["ticker", "hour_bucket"])
+    hourly = jobs.latest_update(updates, ["ticker", "hour_bucket"], ["mentions"])
+    return jobs.rolled_up(hourly).select("ticker", ntz("window_end"), "mentions")
 
 
 @query("stream_url_dedupe", "select url, min(id) first_id from articles group by url")

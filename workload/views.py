@@ -315,11 +315,18 @@ class Views:
     # Streams
 
     def event_stream(self, name: str = "events", order: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-        """A table as a stream of several micro-batches: its thirds by id arrive one after the other, in the given order."""
+        """A table as a stream of several micro-batches: its thirds by id arrive one after the other, in the given order.
+
+        Rows without an id, or with a negative one, come in the first third; an
+        empty table is one of empty micro-batches.  Each third is written by
+        several tasks, equally many files each, if it has the rows for it.
+        """
         key, arrivals = {"events": "event_id", "documents": "doc_id"}[name], session.scratch_path(self.spark, "arrivals")
         table = self.table(name)
-        end = table.agg(F.max(key)).first()[0] + 1
+        end = max(table.agg(F.max(key)).first()[0] or 0, 0) + 1
+        parts = table.withColumn("_third", F.greatest(F.lit(0), F.coalesce(F.floor(F.col(key) * 3 / F.lit(end)), F.lit(0))))
+        rows = dict(parts.groupBy("_third").count().collect())
+        files = max(1, min(table.rdd.getNumPartitions(), min(rows.get(i, 0) for i in order) // 10_000))
         for third in order:
-            part = table.filter(F.floor(F.col(key) * 3 / F.lit(end)) == third)
-            part.coalesce(1).write.mode("append").parquet(arrivals)
-        return jobs.stream_files(self.spark, arrivals, table.schema, files_per_trigger=1)
+            parts.filter(F.col("_third") == third).drop("_third").repartition(files).write.mode("append").parquet(arrivals)
+        return jobs.stream_files(self.spark, arrivals, table.schema, files_per_trigger=files)
