@@ -77,6 +77,28 @@ def test_schedule_keeps_shares_all_along(spark):
         assert all(abs(seen[s] - i * shares[s] / whole) <= 8 for s in shares)
 
 
+def test_the_mix_follows_the_schedule(spark):
+    """Blocks of the mix add up to what is taken of each document, and any stretch of slots holds the sources by their shares."""
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 90)), "abc"[i % 3]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    parts = mixing.mixture(docs, block_words=32).collect()
+    taken = {}
+    for r in parts:
+        assert 0 <= r.start and r.words > 0 and r.start + r.words <= r.size
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+    whole = {r.doc_id: r for r in mixing.mix(docs, block_words=32).collect()}
+    assert taken == {k: r.taken for k, r in whole.items() if r.taken}
+    target = {r.source: r.target for r in whole.values()}
+    last = max(r.slot for r in parts)
+    for low in range(0, last // 2, last // 8):
+        here = {}
+        for r in parts:
+            if low < r.slot <= low + last // 4:
+                here[r.source] = here.get(r.source, 0) + r.words
+        for name, goal in target.items():
+            assert abs(here[name] / sum(here.values()) - goal / sum(target.values())) < 0.04
+
+
 def test_documents(spark):
     docs = corpus(spark)
     out = mixing.mixed_documents(docs, block_words=64)

@@ -123,17 +123,8 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return turns.union(late.select((F.lit(total + 1) + F.col("turn")).alias("slot"), "source", "turn"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
-        block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row of (doc_id, text, source, ...) as (doc_id, size, source_size, target, taken).
-
-    `size` is the number of words, 0 for a NULL text; `target` how many words the
-    mix wants of the row's source, `taken` how many it takes of this document,
-    repeats counted.  A source gives its target, rounded to a word; a document
-    gives at most `most` times its size.  NULL is a source of its own.  The order
-    within a source depends on doc_ids alone, so reruns agree; rows that repeat a
-    doc_id and a size are interchangeable.  An empty table gives an empty one.
-    """
+def _mixture(docs: DataFrame, weights: Sequence[int], share: float, most: int, block_words: int) -> tuple[DataFrame, ...]:
+    """Sizes, targets, lines and the mix itself: what each slot takes of each document."""
     rows = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     goals = durable(targets(rows, weights, share, most))
     line = durable(_line(rows.where("size > 0")))
@@ -145,15 +136,43 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         turns.withColumn("blocks", blocks).withColumn("block", F.col("turn") % F.col("blocks"))
         .withColumn("past", F.expr("turn div blocks") * F.col("source_size") + F.col("block") * block_words)
         .withColumn("words", F.least(F.lit(block_words), F.col("source_size") - F.col("block") * block_words, F.col("goal") - F.col("past")))
-        .select(F.col("source").alias("source2"), F.col("block").alias("block2"), "words")
+        .select("slot", F.col("source").alias("source2"), F.col("block").alias("block2"), F.col("words").alias("block_size"))
     )
-    pieces = line.withColumn("block", F.explode(F.sequence(
+    cut = line.withColumn("block", F.explode(F.sequence(
         F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))))
     on = F.col("source").eqNullSafe(F.col("source2")) & (F.col("block") == F.col("block2"))
-    overlap = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("words")) - F.greatest(
-        F.col("start"), F.col("block") * block_words)
-    gained = pieces.join(used, on).withColumn("got", F.greatest(overlap, F.lit(0))).groupBy(
-        F.col("source").alias("source2"), F.col("start").alias("start2")).agg(F.sum("got").alias("taken"))
+    first = F.greatest(F.col("start"), F.col("block") * block_words)
+    last = F.least(F.col("start") + F.col("size"), F.col("block") * block_words + F.col("block_size"))
+    parts = cut.join(used, on).select(
+        "slot", "source", "doc_id", "size", F.col("start").alias("line"), (first - F.col("start")).alias("start"),
+        (last - first).alias("words")).where("words > 0")
+    return rows, goals, line, parts
+
+
+def mixture(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
+            block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: (slot, source, doc_id, size, start, words), `words` words of a document from word `start` on.
+
+    Slots follow the low-discrepancy schedule, so every stretch of them holds
+    the sources near their shares; within a slot, documents follow their
+    source's shuffled line.  mix() sums what is taken of each document.
+    """
+    return _mixture(docs, weights, share, most, block_words)[3].drop("line")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST,
+        block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Every row of (doc_id, text, source, ...) as (doc_id, size, source_size, target, taken).
+
+    `size` is the number of words, 0 for a NULL text; `target` how many words the
+    mix wants of the row's source, `taken` how many it takes of this document,
+    repeats counted.  A source gives its target, rounded to a word; a document
+    gives at most `most` times its size.  NULL is a source of its own.  The order
+    within a source depends on doc_ids alone, so reruns agree; rows that repeat a
+    doc_id and a size are interchangeable.  An empty table gives an empty one.
+    """
+    rows, goals, line, parts = _mixture(docs, weights, share, most, block_words)
+    gained = parts.groupBy(F.col("source").alias("source2"), F.col("line").alias("start2")).agg(F.sum("words").alias("taken"))
     full = line.join(gained, F.col("source").eqNullSafe(F.col("source2")) & (F.col("start") == F.col("start2")), "left").select(
         "doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     every = full.union(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
