@@ -81,3 +81,35 @@ def test_no_queries_and_null_embeddings(spark, data):
     assert vector.knn(queries.filter("false"), corpus, 3).count() == 0
     none = corpus.withColumn("embedding", F.lit(None).cast("array<double>"))
     assert vector.knn(queries, none, 3).count() == 0
+
+
+def test_kept_index(spark, data, tmp_path, monkeypatch, capfd):
+    """Batches add up to the whole corpus, a replay changes nothing, and a search trains nothing and reads probed lists only."""
+    x, q, urls, corpus, queries = data
+    path = str(tmp_path / "index")
+    vector.write_index(corpus.filter("id < 250"), path, 8)
+    for _ in range(2):
+        vector.append_index(corpus.filter("id >= 250"), path, 1)
+    assert spark.read.parquet(f"{path}/rows").count() == 400
+    monkeypatch.setattr(vector, "coarse_centroids", lambda *a: pytest.fail("trained again"))
+    exact = brute(x, q, urls, 5)
+    assert found(vector.knn_index(queries, path, 5, probes=8)) == exact
+    some = found(vector.knn_index(queries, path, 5, probes=4))
+    assert sum(len(set(exact[i]) & set(some.get(i, []))) for i in exact) / (5 * len(exact)) >= 0.9
+    one = vector.knn_index(queries.limit(1), path, 5, probes=1)
+    one.explain("formatted")
+    plan = capfd.readouterr().out
+    assert "PartitionFilters: [isnotnull(list" in plan or "PartitionFilters: [(list" in plan
+    near = vector.assign_lists(queries.limit(1), vector.index_centres(spark, path))
+    only = near.first()["list"]
+    assert {r.id for r in one.collect()} <= {r.id for r in spark.read.parquet(f"{path}/rows").filter(F.col("list") == only).collect()}
+
+
+def test_kept_index_of_odd_rows(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    vector.write_index(rows, path, 4)
+    asked = spark.createDataFrame([(7, [0.0, 2.0]), (8, None), (9, [])], "query_id long, embedding array<double>")
+    got = vector.knn_index(asked, path, 2, probes=4).orderBy("rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(7, 3), (7, 1)]
+    assert vector.knn_index(asked.filter("query_id > 7"), path, 2).count() == 0

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
@@ -183,7 +183,8 @@ def coarse_centroids(corpus: DataFrame, lists: int = 100, rounds: int = 5) -> np
                     np.add.at(total, own, m)
                     np.add.at(count, own, 1)
             used = np.flatnonzero(count)
-            yield pd.DataFrame({"list": used, "n": count[used], "total": [total[i].tolist() for i in used]})
+            if len(used):
+                yield pd.DataFrame({"list": used, "n": count[used], "total": [total[i].tolist() for i in used]})
 
         partial = vectors.select("embedding").mapInPandas(sums, "list int, n bigint, total array<double>")
         folded = partial.groupBy("list").agg(
@@ -219,3 +220,47 @@ def knn_bucketed(queries: DataFrame, corpus: DataFrame, k: int = vocab.SEARCH_SI
     indexed = assign_lists(corpus, centres)
     asked = assign_lists(queries, centres, probes, "probes")
     return knn(asked, indexed, k, list_col="list")
+
+
+def write_index(corpus: DataFrame, path: str, lists: int = 100) -> None:
+    """Keep an inverted-list index of (id, embedding, ...): its centres, and the rows laid out by list.
+
+    Rows without a vector are left out.  The centres are trained here and only
+    here; append_index adds rows to the same lists.
+    """
+    spark = corpus.sparkSession
+    centres = coarse_centroids(corpus, lists)
+    kept = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    append_index(corpus, path, 0)
+
+
+def index_centres(spark: SparkSession, path: str) -> np.ndarray:
+    """The centres of a kept index, `lists` x dimension numbers."""
+    return np.array([r.centre for r in spark.read.parquet(f"{path}/centres").orderBy("list").collect()])
+
+
+def append_index(rows: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of rows to a kept index; writing a batch again replaces it.
+
+    Only the new rows are assigned to lists.  Rebalancing splits a crowded list
+    over several files.
+    """
+    placed = assign_lists(rows.filter(F.col("embedding").isNotNull()), index_centres(rows.sparkSession, path))
+    (
+        placed.withColumn("batch", F.lit(batch).cast("bigint")).hint("rebalance", "list")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("list", "batch").parquet(f"{path}/rows")
+    )
+
+
+def knn_index(queries: DataFrame, path: str, k: int = vocab.SEARCH_SIZE, probes: int = 10) -> DataFrame:
+    """knn() over a kept index, of each query's `probes` nearest lists.
+
+    No pass over the rows comes before the search, and of the rows only the
+    folders of lists that some query asks for are read.
+    """
+    centres = index_centres(queries.sparkSession, path)
+    asked = assign_lists(queries.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0)), centres, probes, "probes")
+    wanted = [r[0] for r in asked.select(F.explode("probes")).distinct().collect()]  # at most as many as there are lists
+    rows = queries.sparkSession.read.parquet(f"{path}/rows")
+    return knn(asked, rows.filter(F.col("list").isin(wanted)), k, list_col="list")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewatch import session
 from tidewatch.functions import scores, vocab
 from tidewatch.operators import facts as fx
 from tidewatch.operators import models, timeline, topk, vector
@@ -375,3 +376,13 @@ def knn_articles(v: Views):
 def knn_bucketed(v: Views):
     """The inverted-list form with all lists probed, which must be exact; the recall of fewer is measured in the tests."""
     return vector.knn_bucketed(centres(v), corpus(v), 10, lists=20, probes=20)
+
+
+@query("knn_index", NEAREST)
+def knn_index(v: Views):
+    """A kept index, written in two batches and read back, with all lists probed."""
+    path, rows = session.scratch_path(v.spark, "index"), corpus(v)
+    late = F.pmod(F.xxhash64("id"), F.lit(3)) == 0
+    vector.write_index(rows.filter(~late), path, 20)
+    vector.append_index(rows.filter(late), path, 1)
+    return vector.knn_index(centres(v), path, 10, probes=20)
