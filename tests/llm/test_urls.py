@@ -1,7 +1,5 @@
 """Rules and aliases against a plain reading."""
 
-import pytest
-
 from tidewatch.llm import urls
 from tidewatch.llm.queries import URL_RULES
 
@@ -65,8 +63,29 @@ def test_long_chain_and_hub(spark):
     assert got.pop("http://free.org/") == "allow" and set(got.values()) == {"block"}
 
 
-def test_empty_and_too_many(spark):
+def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert urls.judge(empty, URL_RULES, urls.declared_links(empty)).count() == 0
-    with pytest.raises(ValueError):
-        urls.judge(empty, [("block", f"h{i}", "/") for i in range(urls.MAX_RULES + 1)], urls.declared_links(empty))
+    none = spark.createDataFrame([], "verdict string, host string, path string")
+    assert urls.judge(empty, none, urls.declared_links(empty)).count() == 0
+
+
+def test_many_rules_and_tables(spark, monkeypatch):
+    """Joined rules judge like those of one expression, and like a plain reading."""
+    rules = [*URL_RULES, ("allow", "", ""), ("block", "c.b.a", "/x"), ("allow", "b.a", "/x/y"), ("block", "a", ""), ("allow", "a", "/x/y/z")]
+    hosts = ["a", "b.a", "c.b.a", "d.c.b.a", "xa", "", "a."]
+    more = [(i, f"http://{h}{p}", "") for i, (h, p) in enumerate((h, p) for h in hosts for p in ("", "/", "/x", "/x/y", "/x/y/z?q", "/é/x"))]
+    pages = spark.createDataFrame([(1000 + i, u, f'<link rel="canonical" href="{URLS[9]}">') for i, u in enumerate(URLS)] + more,
+                                  "page_id long, url string, html string")
+    links = urls.declared_links(pages)
+    want = sorted(map(str, urls.judge(pages, rules, links).collect()))
+    table = spark.createDataFrame(rules + rules[:3], "verdict string, host string, path string")
+    assert sorted(map(str, urls.judge(pages, table, links).collect())) == want
+    monkeypatch.setattr(urls, "MAX_RULES", 3)
+    assert sorted(map(str, urls.judge(pages, rules, links).collect())) == want
+    monkeypatch.undo()
+    many = [("block" if i % 2 else "allow", f"h{i}.net", f"/{i % 7}/") for i in range(3 * urls.MAX_RULES)]
+    some = spark.createDataFrame([(i, f"https://www.h{i}.net/{i % 5}/page") for i in range(0, 3000, 11)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(some, many, spark.createDataFrame([], "url string, alias string")).collect()}
+    for i, (rule, verdict) in got.items():
+        assert (rule, verdict) == ((f"h{i}.net/{i % 5}/", "block" if i % 2 else "allow") if i % 7 == i % 5 else (None, "allow"))

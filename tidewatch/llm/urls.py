@@ -19,7 +19,7 @@ from .common import fresh
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
-#: Rules that one expression may hold; they are part of the plan.
+#: Rules that one expression may hold, as they are part of the plan; more of them, or a table, are joined, with the same result.
 MAX_RULES = 1000
 AFTER_HOST = r"(?s)^.*?://[^/?#]*"
 
@@ -46,8 +46,6 @@ def address(url: Column) -> Column:
 
 def rule_of(host_: Column, path_: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits a host or one of its parents and starts the path; NULLs without one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     text = verdict = F.lit(None).cast("string")
     for kind, name, start in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), len(r[1]))):
         fits = ((host_ == name) | F.endswith(host_, F.lit("." + name))) & F.startswith(path_, F.lit(start))
@@ -55,6 +53,37 @@ def rule_of(host_: Column, path_: Column, rules: Sequence[Rule]) -> tuple[Column
     return text, verdict
 
 
+def ruled(rows: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """`rows` of (host, path, ...) with `rule` and `own`, as rule_of() finds them.
+
+    Many rules, or a table of (verdict, host, path), meet the different hosts and
+    paths by equality: of each host all parents, of each path the beginnings that
+    are as long as some rule's path.  Of rules for one host and path the last of
+    a list counts; in a table an allow counts.
+    """
+    if not isinstance(rules, DataFrame) and len(rules) <= MAX_RULES:
+        text, verdict = rule_of(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": text, "own": verdict})
+    if not isinstance(rules, DataFrame):
+        last = {(name, start): kind for kind, name, start in rules}
+        rules = rows.sparkSession.createDataFrame([(kind, *key) for key, kind in last.items()], "verdict string, host string, path string")
+    table = durable(rules.where("host is not null and path is not null").groupBy(
+        F.col("host").alias("name"), F.col("path").alias("start")).agg(F.min("verdict").alias("kind")))
+    lengths = [r[0] for r in table.select(F.length("start")).distinct().collect()]  # at most as many as the longest path has characters
+    met = rows.select("host", "path").distinct().withColumn("labels", F.split("host", r"\."))
+    names = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
+    starts = F.array_distinct(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.substr(F.col("path"), F.lit(1), n)))
+    keys = met.select("host", "path", F.explode(names).alias("name"), starts.alias("starts")).select(
+        "host", "path", "name", F.explode("starts").alias("start"))
+    size = F.length("name") + F.length("start")
+    found = keys.join(table, ["name", "start"]).groupBy("host", "path").agg(F.max_by(
+        F.struct(F.concat("name", "start").alias("rule"), "kind"), F.struct(size, F.length("name"))).alias("best"))
+    pair = F.to_json(F.struct("host", "path"))
+    (key,) = fresh(rows, "host_path")
+    best = found.select(pair.alias(key), F.col("best.rule").alias("rule"), F.col("best.kind").alias("own"))
+    return join_skewed(rows.withColumn(key, pair), best, key, "left").drop(key)
+
+
 def resolved(link: Column, base: Column) -> Column:
     """The absolute form of a link found on the page `base`; NULL for an empty link or other schemes."""
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
@@ -83,7 +112,7 @@ def declared_links(pages: DataFrame) -> DataFrame:
     return both.select("url", resolved(F.col("link"), F.col("url")).alias("alias")).where("alias is not null")
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], links: DataFrame, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, links: DataFrame, default: str = "allow") -> DataFrame:
     """Every row of (page_id, url, ...) with host, path, rule and verdict, and no other column than page_id and url.
 
     `links` holds (url, alias) pairs from redirects and canonical links.  URLs
@@ -95,15 +124,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], links: DataFrame, default: st
     Decisions are reduced per component before they meet the pages.
     """
     rows = pages.select("page_id", "url").withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": text, "own": verdict, "node": address(F.col("url"))})
+    rows = ruled(rows, rules).withColumn("node", address(F.col("url")))
     named = links.select(F.col("url").alias("x"), F.col("alias").alias("y"))
     edges = durable(named.select(address(F.col("x")).alias("a"), address(F.col("y")).alias("b")).where("a is not null and b is not null").distinct())
     roots = components(edges)
     # what rules say about every known address: the pages' and those that only links name
     linked = named.select(F.explode(F.array("x", "y")).alias("url"))
-    said = rule_of(host(F.col("url")), path(F.col("url")), rules)[1]
-    decided = rows.select("node", "own").union(linked.select(address(F.col("url")), said)).where("own is not null and node is not null")
+    linked = linked.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    decided = rows.select("node", "own").union(ruled(linked, rules).select(address(F.col("url")), "own")).where("own is not null and node is not null")
     by_node = decided.groupBy("node").agg(F.min("own").alias("own"))  # allow sorts before block
     by_root = by_node.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("own").alias("alias_verdict"))
     placed = join_skewed(rows, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -111,7 +139,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], links: DataFrame, default: st
     return met.select("page_id", "url", "host", "path", "rule", F.coalesce("own", "alias_verdict", F.lit(default)).alias("verdict"))
 
 
-def allowed(pages: DataFrame, rules: Sequence[Rule], links: DataFrame, default: str = "allow") -> DataFrame:
+def allowed(pages: DataFrame, rules: Sequence[Rule] | DataFrame, links: DataFrame, default: str = "allow") -> DataFrame:
     """The rows of `pages` that judge() allows, with all their columns."""
     key, missing = fresh(pages, "url_key", "url_missing")
     shown = judge(pages.select(F.lit(0).alias("page_id"), "url"), rules, links, default).where("verdict = 'allow'")
