@@ -62,6 +62,7 @@ def recent_signatures(stored: DataFrame, as_of: dt.datetime, hours: int = vocab.
 def _banded(sigs: DataFrame, threshold: float, num_perm: int, carry: list[str]) -> DataFrame:
     """One row per item and band: carry columns, band number, band hash, all hashes."""
     hashes = mh.band_hashes(F.col("sig"), threshold, num_perm)
+    hashes = F.coalesce("bands", hashes) if "bands" in sigs.columns else hashes
     return sigs.select(*carry, hashes.alias("hashes")).select(
         *carry, "hashes", F.posexplode("hashes").alias("band", "key")
     )
@@ -80,17 +81,22 @@ def _split_keys() -> Column:
 
 def near_duplicates(batch: DataFrame, stored: DataFrame, threshold: float = vocab.NEAR_DUP_THRESHOLD,
                     id_col: str = "id", signature_col: str = "minhash_signature",
-                    num_perm: int = vocab.NUM_PERM) -> DataFrame:
+                    num_perm: int = vocab.NUM_PERM, bands_col: str | None = None) -> DataFrame:
     """Ids of batch rows whose estimated similarity to any stored row reaches the threshold.
 
+    `bands_col` names a column of both sides that keeps the band hashes of this
+    threshold and signature length, so that a stored signature is banded once in
+    its life; rows without them are banded here.
+
     Copies are collapsed first on both sides.  Only buckets with members on
     both sides are compared, and the comparison is a semi join, which stops at
     the first match and never lists pairs.
     """
     need = mh.needed_matches(threshold, num_perm)
-    mine = batch.select(F.col(signature_col).alias("sig"), F.col(id_col).alias("item")).filter("sig is not null")
-    theirs = stored.select(F.col(signature_col).alias("sig")).filter("sig is not null")
-    left = _banded(mine.select("sig").distinct(), threshold, num_perm, ["sig"])
+    bands = [F.col(bands_col).alias("bands")] if bands_col else []
+    mine = batch.select(F.col(signature_col).alias("sig"), F.col(id_col).alias("item"), *bands).filter("sig is not null")
+    theirs = stored.select(F.col(signature_col).alias("sig"), *bands).filter("sig is not null")
+    left = _banded(mine.drop("item").distinct(), threshold, num_perm, ["sig"])
     right = _banded(theirs.distinct(), threshold, num_perm, ["sig"])
     shared = (
         left.groupBy("key").agg(F.count("*").alias("n"))
@@ -326,11 +332,12 @@ def greedy_verdicts(items: DataFrame, order: list[str], threshold: float = vocab
 
 def drop_near_duplicates(batch: DataFrame, stored: DataFrame | None, order: list[str],
                          threshold: float = vocab.NEAR_DUP_THRESHOLD, id_col: str = "id",
-                         signature_col: str = "minhash_signature", num_perm: int = vocab.NUM_PERM) -> DataFrame:
+                         signature_col: str = "minhash_signature", num_perm: int = vocab.NUM_PERM,
+                         bands_col: str | None = None) -> DataFrame:
     """Batch rows that copy neither a stored row nor an earlier kept row of the batch."""
     fresh = batch
     if stored is not None:
-        known = near_duplicates(batch, stored, threshold, id_col, signature_col, num_perm)
+        known = near_duplicates(batch, stored, threshold, id_col, signature_col, num_perm, bands_col)
         fresh = batch.join(known, id_col, "left_anti")
     verdicts = greedy_verdicts(fresh, order, threshold, id_col, signature_col, num_perm)
     return fresh.join(verdicts.filter("kept").select(id_col), id_col, "left_semi")

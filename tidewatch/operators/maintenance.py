@@ -145,3 +145,6 @@ def expire_store(spark: SparkSession, store_path: str, as_of: dt.datetime, days:
                         fs.delete(part.getPath(), True)
             elif entry.getPath().getName().startswith("dt=") and day < edge.isoformat():
                 fs.delete(entry.getPath(), True)
+    # what is kept beside the articles goes by whole dates; rows of the cutoff's date that are gone meet no article
+    for table in ("url_filters", "postings", "vocabulary"):
+        store.drop_partitions(spark, f"{store_path}/{table}", "dt", lambda day: day < edge.isoformat())

@@ -14,6 +14,7 @@ from ..operators import topk
 from ..operators.dedup import first_per_key
 from ..operators.vector import knn
 from ..session import durable
+from ..sources import postings as kept
 
 
 class SearchResult(NamedTuple):
@@ -85,35 +86,6 @@ def keyword_search(articles: DataFrame, query: str, k: int = vocab.SEARCH_SIZE)
     return topk.latest_per_url(articles.filter(F.lit(False) if condition is None else condition), k)
 
 
-def _holding(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, word) for each distinct token that holds a word, which has three or more characters.
-
-    A word meets tokens through its first three characters, an equality join in
-    place of a containment join; only distinct tokens take part.
-    """
-    spots = F.transform(F.sequence(F.lit(1), F.length("token") - 2), lambda i: F.substring("token", i, F.lit(3)))
-    pieces = tokens.filter(F.length("token") > 2).distinct().select("token", F.explode(F.array_distinct(spots)).alias("piece"))
-    wanted = words.select("word", F.substring("word", 1, 3).alias("piece"))
-    return pieces.join(wanted, "piece").filter(F.contains("token", F.col("word"))).select("token", "word")
-
-
-def _useful(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """The rows of each key that can be among a query's k newest, one per key and URL in `rows`.
-
-    The row that represents a URL is its highest id among the keys a query asks
-    for; `_beaten` names the keys that hold a higher one.  A row that no key
-    beats has the same place in time for every query, so a key's k newest such
-    rows are enough; the others are kept, for the caller to drop where the
-    query asks for a key that beats them.
-    """
-    # a URL has at most one row per key here, so this window is bounded by the number of keys
-    of_url = F.collect_list(F.struct("id", F.col(key).alias("key"))).over(Window.partitionBy("url"))
-    marked = rows.withColumn("_all", of_url).withColumn(
-        "_beaten", F.transform(F.filter("_all", lambda x: x["id"] > F.col("id")), lambda x: x["key"])).drop("_all")
-    newest = Window.partitionBy(key, F.size("_beaten") == 0).orderBy(F.desc("timestamp"), F.desc("id"))
-    return marked.withColumn("_n", F.row_number().over(newest)).filter((F.col("_n") <= k) | (F.size("_beaten") > 0)).drop("_n")
-
-
 def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab.SEARCH_SIZE) -> DataFrame:
     """`keyword_search` for a table (query_id, raw_query).
 
@@ -122,15 +94,14 @@ def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab
     to one row per URL, joined to the words they hold, and each word is cut to
     the rows that can matter before it meets the queries that ask for it.
     """
-    words = queries.select("query_id", F.explode(F.split(F.lower("raw_query"), r"(?U)\s+")).alias("word")).filter(
-        F.length("word") > 2).distinct()
+    words = kept.query_words(queries)
     body = F.lower(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     base = articles.select("id", "source", "title", "url", "timestamp", F.explode(F.array_distinct(F.split(body, r"(?U)\s+"))).alias("token"))
-    held = durable(_holding(base.select("token"), words.select("word").distinct()))
+    held = durable(kept.holding(base.select("token"), words.select("word").distinct()))
     hits = first_per_key(base.join(held.select("token").distinct(), "token", "left_semi"), F.struct("token", "url"), ["id", "timestamp"], latest=True)
     latest = first_per_key(hits.join(held, "token").drop("token"), F.struct("word", "url"), ["id", "timestamp"], latest=True)
     asked = words.groupBy("query_id").agg(F.collect_set("word").alias("_asked")).select("query_id", "_asked", F.explode("_asked").alias("word"))
-    met = _useful(latest, "word", k).join(asked, "word").filter(~F.arrays_overlap("_beaten", "_asked"))
+    met = kept.useful(latest, "word", k).join(asked, "word").filter(~F.arrays_overlap("_beaten", "_asked"))
     news = topk.latest_per_url(met.drop("word", "_asked", "_beaten"), k, ["query_id"])
     return news.select("query_id", "id", "source", "title", "url", "timestamp")
 
@@ -178,19 +149,21 @@ def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
         F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "source", "title", "url", "timestamp", "sentiment"
     )
     latest = first_per_key(rows, F.struct("symbol", "url"), ["id", "timestamp", "sentiment"], latest=True)
-    useful = _useful(latest, "symbol", k)
+    useful = kept.useful(latest, "symbol", k)
     met = useful.join(members, "symbol").filter(~F.arrays_overlap("_beaten", "symbols"))
     news = topk.latest_per_url(met.drop("symbol", "_beaten"), k, ["symbols"])
     return sets.join(news, "symbols").drop("symbols").withColumn("sentiment", scores.round4("sentiment"))
 
 
 def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions: DataFrame, as_of: dt.datetime,
-           mode: str = "substring", k: int = vocab.SEARCH_SIZE) -> SearchResult:
+           mode: str = "substring", k: int = vocab.SEARCH_SIZE, store_path: str | None = None) -> SearchResult:
     """Answer a table of queries (query_id, query, optional embedding).
 
     Sector and ticker questions return the best tickers of the sector or list;
     anything else looks for the nearest articles, or for matching keywords where
     the query or all articles have no vector, and derives tickers from them.
+    With `store_path`, a store that keeps postings, keywords are looked up there
+    and the texts are not read.
 
     What several results share (classified queries, ticker scores, matched
     articles, chosen tickers) is computed once and kept on shared storage.
@@ -224,7 +197,8 @@ def search(queries: DataFrame, tickers: DataFrame, articles: DataFrame, mentions
             by_words = by_words.join(vectors.select("query_id"), "query_id", "left_anti")
     found = near
     if near is None or not by_words.isEmpty():
-        worded = _ranked(keyword_search_batch(by_words, articles, k), [F.desc("timestamp"), F.desc("id")], k).select(cols_found)
+        matched = kept.search(queries.sparkSession, by_words, store_path, articles, k) if store_path else keyword_search_batch(by_words, articles, k)
+        worded = _ranked(matched, [F.desc("timestamp"), F.desc("id")], k).select(cols_found)
         found = worded if near is None else near.unionByName(worded)
     found = durable(found)
     mentioned = mentions.join(found.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi")

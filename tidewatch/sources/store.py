@@ -80,11 +80,22 @@ def write_table(df: DataFrame, path: str, batch: int) -> None:
     )
 
 
-def write_feed(items: DataFrame, store: str, batch: int = 0, tickers: DataFrame | None = None) -> None:
-    """Store items and their mentions."""
+def write_feed(items: DataFrame, store: str, batch: int = 0, tickers: DataFrame | None = None, keywords: bool = False) -> None:
+    """Store items, their mentions and the filters of their URLs, on request also their keyword postings.
+
+    The filters of a batch go before its articles are replaced and come back
+    after them: a date without its filter is read, so an interrupted run loses
+    nothing.
+    """
+    from . import postings, url_filter
+
     articles, mentions = feed_tables(items, tickers)
+    url_filter.forget(items.sparkSession, store, batch)
     write_table(articles, f"{store}/articles", batch)
     write_table(mentions, f"{store}/mentions", batch)
+    url_filter.write(articles, store, batch)
+    if keywords:
+        postings.write(articles, store, batch)
 
 
 def drop_partitions(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> None:

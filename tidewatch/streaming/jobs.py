@@ -149,12 +149,14 @@ def stream_near_dup(feed: DataFrame, path: str, checkpoint: str, arrived: Callab
     `arrived` gives the ingestion time of a batch; a replayed batch keeps the
     time of its first attempt.  The decision is the batch rule: earlier kept
     items win, exactly.  The store is laid out by ingestion day, so a batch
-    reads two days of it, however old the store is.
+    reads two days of it, however old the store is, and it keeps the band hashes
+    of every signature, which later batches join without hashing them again.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        signed = durable(batch.withColumn("minhash_signature", minhash.signature(text_col)))
+        signed = batch.withColumn("minhash_signature", minhash.signature(text_col))
+        signed = durable(signed.withColumn("bands", minhash.band_hashes(F.col("minhash_signature"), vocab.NEAR_DUP_THRESHOLD)))
         spec = T.StructType([
             *signed.schema.fields, T.StructField("created_at", T.TimestampType()),
             T.StructField("day", T.DateType()), T.StructField("batch", T.LongType()),
@@ -166,7 +168,7 @@ def stream_near_dup(feed: DataFrame, path: str, checkpoint: str, arrived: Callab
         stored = table.filter((F.col("batch") < batch_id) & (F.col("day") >= F.lit(first_day)))
         recent = dedup.recent_signatures(stored, now)
         kept = dedup.drop_near_duplicates(
-            signed, None if recent.isEmpty() else recent, order, id_col=id_col)
+            signed, None if recent.isEmpty() else recent, order, id_col=id_col, bands_col="bands")
         stamped = kept.withColumn("created_at", times.literal_like(stored, "created_at", now))
         (
             stamped.withColumn("day", F.to_date("created_at")).withColumn("batch", F.lit(batch_id).cast("bigint"))

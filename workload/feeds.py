@@ -9,7 +9,7 @@ from tidewatch import schema, session
 from tidewatch.functions import scores, text, vocab
 from tidewatch.operators import dedup, facts as fx, filters, models, setops, topk
 from tidewatch.plans import ingest as ing
-from tidewatch.sources import feeds, normalize, store
+from tidewatch.sources import feeds, normalize, store, url_filter
 
 from .catalog import query, r4, sym
 from .texts import hashing_encoder
@@ -180,8 +180,11 @@ def cap_per_feed(v: Views):
     return capped.drop("ts")
 
 
-@query("known_urls_anti", """, stored as (select url from articles where source='stocktwits')
-  select url, min(id) id from articles where source<>'stocktwits' and url not in (select url from stored) group by 1""")
+NEW_URLS = """, stored as (select url from articles where source='stocktwits')
+  select url, min(id) id from articles where source<>'stocktwits' and url not in (select url from stored) group by 1"""
+
+
+@query("known_urls_anti", NEW_URLS)
 def known_urls_anti(v: Views):
     """First item per URL that no stored social message already has."""
     stored = v.articles.filter("source = 'stocktwits'")
@@ -189,6 +192,18 @@ def known_urls_anti(v: Views):
     return dedup.drop_known_urls(batch, stored, ["id"]).select("url", "id")
 
 
+@query("known_urls_filtered", NEW_URLS)
+def known_urls_filtered(v: Views):
+    """The same against a stored feed, of which only the dates that its URL filters name are read."""
+    path = session.scratch_path(v.spark, "filtered")
+    messages = schema.conform(v.articles.filter("source = 'stocktwits'"), schema.ARTICLES)
+    store.write_table(messages, f"{path}/articles", 0)
+    url_filter.write(messages, path, 0)
+    batch = v.articles.filter("source <> 'stocktwits'")
+    near = url_filter.narrowed(store.load_articles(v.spark, path), batch, path)
+    return dedup.drop_known_urls(batch, near, ["id"]).select("url", "id")
+
+
 @query("page_ids", """select page_id, concat('page-',substr(md5(url),1,12)) stable,
   nullif(trim(regexp_extract(html,'(?s)<title>(.*?)</title>',1)),'') title from pages""")
 def page_ids(v: Views):

@@ -10,6 +10,7 @@ from tidewatch.operators import facts as fx
 from tidewatch.operators import models, timeline, topk, vector
 from tidewatch.plans import search as sx
 from tidewatch.plans import ticker
+from tidewatch.sources import postings
 
 from .boards import COUNTED, RECENT, since
 from .catalog import inlist, lit, mean, query, r4, sym, units
@@ -180,16 +181,32 @@ def keyword_search(v: Views):
 LOOSE = """, words as (select distinct query_id, w from (select query_id, unnest(string_split_regex(lower(trim(query)),'\\s+')) w from query_log) where length(w)>2)"""
 
 
-@query("keyword_search_batch", LOOSE + """,
+def keyword_hits(articles: str = "articles") -> str:
+    return LOOSE + f""",
  hits as (select distinct w.query_id, a.id, a.url, a."timestamp" from (select distinct w from words) d
-   join articles a on contains(lower(a.title), d.w) or contains(lower(a.content), d.w) join words w on w.w=d.w),
+   join {articles} a on contains(lower(a.title), d.w) or contains(lower(a.content), d.w) join words w on w.w=d.w),
  one as (select *, row_number() over (partition by query_id, url order by id desc) n from hits)
- select query_id, id, url, "timestamp" from (select *, row_number() over (partition by query_id order by "timestamp" desc, id desc) r from one where n=1) where r<=10""")
+ select query_id, id, url, "timestamp" from (select *, row_number() over (partition by query_id order by "timestamp" desc, id desc) r from one where n=1) where r<=10"""
+
+
+@query("keyword_search_batch", keyword_hits())
 def keyword_search_batch(v: Views):
     log = v.query_log.select("query_id", F.col("query").alias("raw_query"))
     return sx.keyword_search_batch(log, v.articles).select("query_id", "id", "url", "timestamp")
 
 
+@query("keyword_postings", keyword_hits("""(select id, title, content, "timestamp",
+   case when id%3<>0 then concat(url,'#',id) else url end url from articles)"""))
+def keyword_postings(v: Views):
+    """Keywords looked up in kept postings; every third article shares its URL with others."""
+    path = session.scratch_path(v.spark, "postings")
+    own = F.when(F.col("id") % 3 != 0, F.concat_ws("#", "url", "id")).otherwise(F.col("url"))
+    articles = v.articles.withColumn("url", own)
+    postings.write(articles, path, 0)
+    log = v.query_log.select("query_id", F.col("query").alias("raw_query"))
+    return postings.search(v.spark, log, path, articles).select("query_id", "id", "url", "timestamp")
+
+
 @query("partial_ticker_match", """, terms as (select distinct upper(substr(p_name,1,3)) t from ev where p_name is not null
     union select distinct substr(sym,2,2) from ev)
  select t term, symbol, company_name from (select *, row_number() over (partition by t order by symbol) n from terms
