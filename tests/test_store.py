@@ -168,3 +168,14 @@ def test_ingest(spark, tmp_path, tickers):
     late = t + dt.timedelta(hours=30)
     assert [r.url for r in ing.ingest(third, path, known, models.LexiconScorer(), letters, late, 3).collect()] == ["u11"]
     assert store.load_articles(spark, path).count() == 6
+
+
+def test_ingest_of_repeated_tickers_and_ties(spark, tmp_path):
+    """A ticker named twice counts twice, as the item says; of records alike in URL, time and id the smaller text wins."""
+    known = spark.createDataFrame([("AAA", "Energy", "Alpha")], "symbol string, sector string, company_name string")
+    rows = [("1", "finnhub_general", "one", "record growth", DAY, "u1", ["AAA", "AAA"], None),
+            ("2", "finnhub_insider", "b", "second text", DAY, "u2", ["AAA"], 0.5),
+            ("2", "finnhub_insider", "a", "first text", DAY, "u2", ["AAA"], -0.5)]
+    for n, order in enumerate((rows, rows[::-1])):
+        got = {r.url: r for r in ing.ingest(feed(spark, order), str(tmp_path / str(n)), known, models.LexiconScorer(), letters, DAY, 0).collect()}
+        assert [m.ticker for m in got["u1"].confirmed] == ["AAA", "AAA"] and got["u2"].sentiment == -0.5 and got["u2"].content == "first text"

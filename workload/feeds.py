@@ -11,8 +11,8 @@ from tidewatch.operators import dedup, facts as fx, filters, models, setops, top
 from tidewatch.plans import ingest as ing
 from tidewatch.sources import feeds, normalize, store, url_filter
 
-from .catalog import query, r4, sym
-from .texts import hashing_encoder
+from .catalog import inlist, query, r4, sym
+from .texts import WALK, edges_sql, hashing_encoder
 from .views import Views
 
 NOW = "(select t from latest)"
@@ -254,9 +254,39 @@ def feed_store(v: Views):
         m.agg(F.count("*").alias("n")).select(F.lit("mention").alias("kind"), "n"))
 
 
-@query("ingest")
+def count_sql(words) -> str:
+    """How often the words occur in `words_of`, a lower-case text."""
+    return "(" + "+".join(f"(length(words_of)-length(replace(words_of,'{w}','')))//{len(w)}" for w in words) + ")"
+
+
+# Bodies stand for their first arrival; the others of a kept body are its copies.
+INGESTED = ITEMS + """,
+ valid as (select *, case when source='googlenews_rss'
+     then coalesce(nullif(trim(regexp_replace(title,'\\s+-\\s+[^-]+$','')),''),title) else content end body
+   from items where url<>'' and content is not null),
+ fresh as (select * exclude (n) from (select *, row_number() over (partition by url order by "timestamp", id, content, sentiment nulls first) n from valid) where n=1),
+ first as (select * exclude (n), row_number() over (order by "timestamp", id) r from (
+   select *, row_number() over (partition by body order by "timestamp", id) n from fresh) where n=1)""" + edges_sql("first", "r", "body") + WALK + f""",
+ kept as (select * from first where r not in (select id from nodes) or list_contains((select kept from final), r)),
+ named as (select *, source in {inlist(vocab.NAMED_TICKER_SOURCES)} own from kept),
+ pairs as (select id, ticker, pos from (
+     select id, unnest(string_split(tickers,',')) ticker, generate_subscripts(string_split(tickers,','),1) pos from named where own)
+     where ticker in (select symbol from tickers)
+   union all select distinct id, ticker, 0 from (select id, ltrim(unnest(regexp_extract_all(concat(coalesce(title,''),' ',content),
+       '\\$[A-Z]{{2,5}}\\b|\\b[A-Z]{{2,5}}\\b')),'$') ticker from named
+     where not own or (source in {inlist(vocab.SCAN_FALLBACK_SOURCES)} and tickers=''))
+     where ticker in (select symbol from tickers) and ticker not in {inlist(vocab.ARTICLE_STOPWORDS)}),
+ read as (select *, {count_sql(models.LexiconScorer.GOOD)} good, {count_sql(models.LexiconScorer.BAD)} bad from (
+   select *, lower(concat(coalesce(title,''),e'\\n\\n',content)) words_of from kept)),
+ rated as (select id, source, url, case when source in {inlist(vocab.PRESCORED_SOURCES)} or (source='alphavantage' and sentiment is not null)
+     then sentiment when good+bad=0 then 0e0 else {r4('(good-bad)/cast(good+bad as double)')} end s
+   from read where source in {inlist(vocab.PRESCORED_SOURCES)} or trim(words_of,e' \\n')<>'')
+ select id, source, url, count(*) mentions, {r4('any_value(s)')} sentiment from rated join pairs using (id) group by 1,2,3"""
+
+
+@query("ingest", INGESTED)
 def ingest(v: Views):
     """The whole job over the union of all feeds, with the stand-in models."""
     path = session.scratch_path(v.spark, "ingest")
     stored = ing.ingest(all_items(v), path, v.tickers, models.LexiconScorer(), hashing_encoder, v.as_of)
-    return stored.select("id", "source", "url", F.size("confirmed").alias("mentions"), scores.round4("sentiment").alias("sentiment"))
+    return stored.select("id", "source", "url", F.size("confirmed").cast("bigint").alias("mentions"), scores.round4("sentiment").alias("sentiment"))

@@ -14,7 +14,7 @@ from tidewatch.sources import store
 
 from .boards import COUNTED, ranking
 from .catalog import query
-from .texts import EDGES
+from .texts import EDGES, WALK
 from .views import Views, ntz, pick, symbol, SOURCES, WEIGHTS_E2
 
 TIMEOUT = 1800
@@ -75,14 +75,7 @@ def stream_url_dedupe(v: Views):
     return v.spark.read.parquet(out).select("url", F.col("id").alias("first_id"))
 
 
-@query("stream_near_dup", EDGES + """,
- nodes as (select id, row_number() over (order by id) rn, nb from (
-   select id, list(e) filter (where e is not null) nb from (
-     select later id, earlier e from alike union all select earlier, null from alike) group by 1)),
- walk as (select cast(0 as bigint) rn, cast([] as bigint[]) kept
-   union all select n.rn, case when n.nb is not null and list_has_any(w.kept, n.nb) then w.kept else list_append(w.kept, n.id) end
-   from walk w join nodes n on n.rn=w.rn+1),
- final as (select kept from walk order by rn desc limit 1)
+@query("stream_near_dup", EDGES + WALK + """
  select doc_id from documents where doc_id not in (select id from nodes) or list_contains((select kept from final), doc_id)""")
 def stream_near_dup(v: Views):
     feed = v.event_stream("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))

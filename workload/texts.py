@@ -57,19 +57,26 @@ def minhash_signature(v: Views):
     return signed(v).select(F.col("id").alias("doc_id"), F.md5(joined).alias("digest"))
 
 
-EDGES = signature_sql("sig", "documents", "doc_id", "text") + f""",
+def edges_sql(source: str, id_col: str, body: str) -> str:
+    """Table alike (later, earlier): pairs of texts whose signatures reach the threshold."""
+    return signature_sql("sig", source, id_col, body) + f""",
  alike as (select a.id later, b.id earlier from sig a join sig b on a.i=b.i and a.v=b.v and a.id>b.id
              group by 1,2 having count(*)>={minhash.needed_matches(vocab.NEAR_DUP_THRESHOLD)})"""
 
 
-@query("near_dup_kept", EDGES + """,
+EDGES = edges_sql("documents", "doc_id", "text")
+# The rule "keep unless an earlier kept text is alike", in the order of the ids.
+WALK = """,
  nodes as (select id, row_number() over (order by id) rn, nb from (
    select id, list(e) filter (where e is not null) nb from (
      select later id, earlier e from alike union all select earlier, null from alike) group by 1)),
  walk as (select cast(0 as bigint) rn, cast([] as bigint[]) kept
    union all select n.rn, case when n.nb is not null and list_has_any(w.kept, n.nb) then w.kept else list_append(w.kept, n.id) end
    from walk w join nodes n on n.rn=w.rn+1),
- final as (select kept from walk order by rn desc limit 1)
+ final as (select kept from walk order by rn desc limit 1)"""
+
+
+@query("near_dup_kept", EDGES + WALK + """
  select doc_id, doc_id not in (select id from nodes) or list_contains((select kept from final), doc_id) kept from documents""")
 def near_dup_kept(v: Views):
     verdicts = dedup.greedy_verdicts(signed(v), [])
