@@ -217,3 +217,13 @@ def test_a_long_chain_is_walked(spark, monkeypatch):
     edges = spark.range(1, n).select(F.struct(F.col("id").alias("item")).alias("later"), F.struct((F.col("id") - 1).alias("item")).alias("earlier"))
     dropped = dedup._settle(edges)
     assert dropped.count() == n // 2 and dropped.filter("rank.item % 2 = 0 or copy_of.item <> rank.item - 1").isEmpty()
+
+
+def test_buckets_keep_no_hashes(spark, monkeypatch):
+    """Rows of buckets carry their item and key alone."""
+    shapes = []
+    real = dedup.durable
+    monkeypatch.setattr(dedup, "durable", lambda df: shapes.append(df.columns) or real(df))
+    dedup.greedy_verdicts(signed(spark, corpus(2, 30)), []).collect()
+    assert ["rank", "key"] in shapes or ["key", "rank"] in shapes
+    assert not any("hashes" in s for s in shapes)

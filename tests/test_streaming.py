@@ -87,6 +87,22 @@ def test_near_duplicates_over_batches(spark, tmp_path):
     assert {r.id for r in spark.read.parquet(out).collect()} == want
 
 
+def test_near_duplicate_batches_keep_no_second_copy_of_texts(spark, tmp_path, monkeypatch):
+    path, shapes = str(tmp_path / "in"), []
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "g h i j k l")]
+    spark.createDataFrame(rows, "id long, content string").coalesce(1).write.parquet(path)
+    real = jobs.durable
+    monkeypatch.setattr(jobs, "durable", lambda df: shapes.append(df.columns) or real(df))
+    feed = jobs.stream_files(spark, path, spark.read.parquet(path).schema)
+    out = str(tmp_path / "out")
+    jobs.stream_near_dup(feed, out, str(tmp_path / "offsets"), lambda: dt.datetime(2024, 1, 1), []).awaitTermination()
+    kept = spark.read.parquet(out)
+    assert sorted((r["id"], r["content"]) for r in kept.select("id", "content").collect()) == [(1, "a b c d e f"), (3, None), (5, "g h i j k l")]
+    assert kept.filter("size(bands) = 21 and size(minhash_signature) = 128").count() == 3
+    assert shapes and not any("content" in s for s in shapes)
+
+
+
 def test_board_equals_the_batch(spark, folder, tmp_path):
     tickers = spark.createDataFrame([("A", "Energy", "Alpha"), ("B", None, "Beta"), ("C", "Energy", "C")],
                                     "symbol string, sector string, company_name string")
