@@ -227,3 +227,11 @@ def test_buckets_keep_no_hashes(spark, monkeypatch):
     dedup.greedy_verdicts(signed(spark, corpus(2, 30)), []).collect()
     assert ["rank", "key"] in shapes or ["key", "rank"] in shapes
     assert not any("hashes" in s for s in shapes)
+
+
+def test_rare_places_leave_tasks_as_keys_only(spark):
+    """What a crowded table shuffles to find rare places is counters and 20 numbers a signature, not all of its places."""
+    _, items = templated(spark, 300, 24)
+    keys = dedup._rare_keys(items.selectExpr("id rank", "minhash_signature sig"), 109, 128)
+    assert "Exchange" not in keys._jdf.queryExecution().executedPlan().toString().replace("REPARTITION_BY_NUM", "").replace("Exchange RoundRobin", "")
+    assert keys.groupBy("rank").count().filter("count > 20").isEmpty()
