@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import models
+from tidewatch.sources import postings
 from tidewatch.plans import search as sx
 
 AS_OF = dt.datetime(2024, 1, 8, 12, 0)
@@ -144,3 +145,17 @@ def test_partial_match_is_limited_and_unique(spark):
         got.setdefault(r.query_id, []).append((r.pos, r.symbol))
     assert sorted(got["q"]) == [(0, f"S0{i}") for i in range(5)]
     assert sorted(s for _, s in got["r"]) == [f"S0{i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("n", [100, 800])
+def test_a_beaten_common_word_brings_a_bounded_number_of_rows(spark, n):
+    """Every URL has a newer row of another word; what queries get to meet does not grow with the URLs."""
+    rows = [(w, f"u{i}", 2 * i + (w == "other"), i) for i in range(n) for w in ("common", "other")]
+    table = spark.createDataFrame(rows, "word string, url string, id long, timestamp long")
+    asked = spark.createDataFrame([(["common"],), (["common", "other"],), (["common", "rare"],)], "_asked array<string>")
+    kept = postings.useful(table, "word", 5, asked)
+    assert kept.filter("word = 'common' and array_contains(_beaten, 'other')").count() == 5
+    assert kept.count() == 10
+    apart = postings.useful(table, "word", 5, asked.filter("size(_asked) = 1"))
+    newest = [r["id"] for r in apart.filter("word = 'common'").orderBy("id").collect()]
+    assert newest == [2 * i for i in range(n - 5, n)] and apart.filter("size(_beaten) > 0").isEmpty()

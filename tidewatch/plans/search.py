@@ -101,7 +101,7 @@ def keyword_search_batch(queries: DataFrame, articles: DataFrame, k: int = vocab
     hits = first_per_key(base.join(held.select("token").distinct(), "token", "left_semi"), F.struct("token", "url"), ["id", "timestamp"], latest=True)
     latest = first_per_key(hits.join(held, "token").drop("token"), F.struct("word", "url"), ["id", "timestamp"], latest=True)
     asked = words.groupBy("query_id").agg(F.collect_set("word").alias("_asked")).select("query_id", "_asked", F.explode("_asked").alias("word"))
-    met = kept.useful(latest, "word", k).join(asked, "word").filter(~F.arrays_overlap("_beaten", "_asked"))
+    met = kept.useful(latest, "word", k, asked.select("_asked").distinct()).join(asked, "word").filter(~F.arrays_overlap("_beaten", "_asked"))
     news = topk.latest_per_url(met.drop("word", "_asked", "_beaten"), k, ["query_id"])
     return news.select("query_id", "id", "source", "title", "url", "timestamp")
 
@@ -149,7 +149,7 @@ def _news_for_symbols(wanted: DataFrame, facts: DataFrame, k: int) -> DataFrame:
         F.col("ticker").alias("symbol"), F.col("article_id").alias("id"), "source", "title", "url", "timestamp", "sentiment"
     )
     latest = first_per_key(rows, F.struct("symbol", "url"), ["id", "timestamp", "sentiment"], latest=True)
-    useful = kept.useful(latest, "symbol", k)
+    useful = kept.useful(latest, "symbol", k, members.select(F.col("symbols").alias("_asked")).distinct())
     met = useful.join(members, "symbol").filter(~F.arrays_overlap("_beaten", "symbols"))
     news = topk.latest_per_url(met.drop("symbol", "_beaten"), k, ["symbols"])
     return sets.join(news, "symbols").drop("symbols").withColumn("sentiment", scores.round4("sentiment"))
