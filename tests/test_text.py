@@ -68,3 +68,10 @@ def test_stable_id(val):
 
     expected = "googlenews-" + hashlib.md5(b"q||u").hexdigest()[:12]
     assert val(text.stable_id("googlenews", "a", "b"), "a string, b string", a="q", b="u") == expected
+
+
+def test_strip_equals_the_unicode_class(spark):
+    codes = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    rows = [(chr(c) + "a" + chr(c) + "b" + chr(c) * 2,) for c in codes] + [(None,), ("",), (" \n\t ",), ("a\n",)]
+    df = spark.createDataFrame(rows, "s string")
+    assert df.filter(~text.strip("s").eqNullSafe(F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))).isEmpty()
